@@ -150,7 +150,7 @@ def block_length(spark, sf):
 @query("dtw_to_reference", f"""
 WITH e AS ({VEC}), f AS (SELECT label, arg_min(v, vec_id) AS ref FROM e GROUP BY 1),
 j AS (SELECT vec_id, v, ref FROM e JOIN f ON e.label = f.label),
-d AS (SELECT vec_id, list_reduce(v, lambda prev, xi: list_reduce(list_zip(ref, range(64)), (row, c) ->
+d AS (SELECT vec_id, list_reduce(v, lambda prev, xi: list_reduce(list_zip(ref, range(64)), lambda row, c:
    list_append(row, abs(xi - c[1]) + least(prev[c[2] + 1], prev[c[2] + 2], row[-1])), ['inf'::DOUBLE]),
    list_concat([0.0::DOUBLE], list_transform(range(64), lambda i: 'inf'::DOUBLE))) AS last FROM j)
 SELECT vec_id, round(last[65], 6) AS dtw FROM d
