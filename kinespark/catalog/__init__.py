@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import expressions, relational, sequences, statistics  # noqa: F401
+    from . import expressions, kernels, relational, sequences, statistics  # noqa: F401

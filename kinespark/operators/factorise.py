@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,9 +261,7 @@ def fit_large(blocks: DataFrame, tasks: DataFrame, keys: Sequence[str], rule: Ru
               n_starts: int) -> DataFrame:
     """Distributed fits; ``tasks`` is (keys, k, seeds). Starts run one after another, the best is kept."""
     ids = [*keys, "k", "seed"]
-    length = F.size("x") / F.col("m")
-    lengths = blocks.groupBy(*keys).agg(F.min(length).alias("_lo"), F.max(length).alias("_hi")).select(
-        *keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).cast("int").alias("points"))
+    lengths = shapes(blocks, keys).select(*keys, "points")
     outs = []
     for j in range(1 if rule.name == "svd_start" else n_starts):
         one = tasks.select(*keys, "k", F.get("seeds", F.lit(j)).cast("bigint").alias("seed"))
@@ -296,23 +294,26 @@ def scale_factors(fits: DataFrame, eps: float) -> DataFrame:
         "wave", F.transform("wave", lambda v, i: v * F.get("_s", F.floor(i / points).cast("int")))).drop("_s")
 
 
-def fit_conditions(blocks: DataFrame, keys: Sequence[str], ranks: Column, seeds: Column, rule: Rule,
+def fit_conditions(blocks: DataFrame, keys: Sequence[str], wanted: DataFrame, rule: Rule,
                    n_starts: int, normalise: bool = False, limit: int = TASK_CELLS) -> DataFrame:
-    """Best fit per (condition, rank).
-
-    ``ranks`` is an array column over (keys, m) naming the ranks to fit; ``seeds``
-    an array column over (keys, k) with one seed per start.
-    """
+    """Best fit per (condition, rank) asked for in ``wanted``: (keys, k, seeds), one seed per start."""
     small, large = gather(blocks, keys, limit)
-    tasks = small.withColumn("k", F.explode(ranks)).withColumn("seeds", seeds)
-    fits = fit_small(tasks, keys, rule, normalise)
+    fits = fit_small(small.join(wanted, list(keys)), keys, rule, normalise)
     if has_rows(large):
-        shapes = large.groupBy(*keys).agg(F.first("m").alias("m"))
-        wide = shapes.withColumn("k", F.explode(ranks)).withColumn("seeds", seeds)
-        fits = fits.unionByName(fit_large(large, wide, keys, rule, normalise, n_starts))
+        todo = wanted.join(large.select(*keys).distinct(), list(keys), "left_semi")
+        fits = fits.unionByName(fit_large(large, todo, keys, rule, normalise, n_starts))
     return fits
 
 
+def shapes(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Channel count, block count and common block length (NULL when unequal) per condition."""
+    points = F.size("x") / F.col("m")
+    return blocks.groupBy(*keys).agg(
+        F.first("m").alias("m"), F.count("*").cast("int").alias("n_strides"), F.min(points).alias("_lo"),
+        F.max(points).alias("_hi")).select(
+        *keys, "m", "n_strides", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).cast("int").alias("points"))
+
+
 def explained(fits: DataFrame, eps: float) -> DataFrame:
     """Variance accounted for: in total, and the minimum, median and mean over channels."""
     total = F.aggregate("channel_sst", F.lit(0.0), lambda a, b: a + b) + eps

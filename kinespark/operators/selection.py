@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,7 +114,8 @@ def complete_pivot(df: DataFrame, keys: Sequence[str], column: str, values: Sequ
     """Fixed-column pivot that keeps only keys with every column present."""
     wide = df.groupBy(*keys).pivot(column, list(values)).agg(F.expr(f"{how}(`{measure}`)"))
     names = [c for c in wide.columns if c not in keys]
-    return wide.dropna("any", subset=names)
+    # quoted, because pivoted names may contain dots
+    return wide.where(reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names]))
 
 
 def max_transition(df: DataFrame, keys: Sequence[str], measure: str, order: str,

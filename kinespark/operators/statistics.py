@@ -109,7 +109,7 @@ def icc21(wide: DataFrame, raters: Sequence[str], family: Sequence[str] = ()) ->
     Mean squares are linear in the variances of the row means and of the raters,
     so one aggregate is enough.
     """
-    rows = wide.dropna("any", subset=list(raters))
+    rows = wide.where(reduce(lambda a, b: a & b, [F.col(f"`{r}`").isNotNull() for r in raters]))
     k = float(len(raters))
     cols = [F.col(f"`{r}`").cast("double") for r in raters]
     mean = _total(cols) / k
