@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +12,23 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression captured by a lambda is evaluated again for every element;
+    binding it as a lambda variable keeps array expressions linear.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def standardise_sign(values: Column | str) -> Column:
     """Flip the signal when its largest excursion is negative."""
-    v = _c(values)
-    return F.when(F.array_max(v) < F.abs(F.array_min(v)), F.transform(v, lambda x: -x)).otherwise(v)
+    return let(_c(values), lambda v: F.when(
+        F.array_max(v) < F.abs(F.array_min(v)), F.transform(v, lambda x: -x)).otherwise(v))
 
 
 def clip_fraction(values: Column | str, rail: float | None = None, tol: float = 0.05) -> Column:
@@ -25,7 +36,7 @@ def clip_fraction(values: Column | str, rail: float | None = None, tol: float =
     v = _c(values)
     top = F.lit(rail) if rail is not None else F.array_max(F.transform(v, lambda x: F.abs(x)))
     limit = F.greatest(F.lit(0.0), top - tol)
-    hits = F.size(F.filter(v, lambda x: F.abs(x) >= limit))
+    hits = let(limit, lambda bar: F.size(F.filter(v, lambda x: F.abs(x) >= bar)))
     return F.when((F.size(v) > 0) & (top > 0), hits / F.size(v)).otherwise(F.lit(0.0))
 
 
@@ -41,17 +52,18 @@ def time_normalise(values: Column | str, points: int) -> Column:
 
     Arrays of at most one sample give NULL entries.
     """
-    v = _c(values)
-    n = F.size(v)
+    def resample(v: Column) -> Column:
+        n = F.size(v)
+
+        def at(i: Column) -> Column:
+            pos = i * (n - 1) / F.lit(float(points - 1))
+            left = F.least(F.floor(pos).cast("int"), n - 2)
+            a, b = F.get(v, left), F.get(v, left + 1)
+            return F.when(n > 1, a + (b - a) * (pos - left))
 
-    def at(i: Column) -> Column:
-        pos = i * (n - 1) / F.lit(float(points - 1))
-        left = F.least(F.floor(pos).cast("int"), n - 2)
-        frac = pos - left
-        a, b = F.get(v, left), F.get(v, left + 1)
-        return F.when(n > 1, a + (b - a) * frac)
+        return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+    return let(_c(values), resample)
 
 
 def peak_normalise(values: Column | str, peak: Column | str) -> Column:
@@ -62,18 +74,16 @@ def peak_normalise(values: Column | str, peak: Column | str) -> Column:
 def max_renormalise(values: Column | str, floor: float = 1e-10) -> Column:
     """Scale an array by its own maximum, never dividing by less than ``floor``."""
     v = _c(values)
-    return F.transform(v, lambda x: x / F.greatest(F.array_max(v), F.lit(floor)))
+    return let(F.greatest(F.array_max(v), F.lit(floor)), lambda top: F.transform(v, lambda x: x / top))
 
 
 def argmax(values: Column | str) -> Column:
     """0-based position of the first maximum."""
-    v = _c(values)
-    return F.array_position(v, F.array_max(v)) - 1
+    return let(_c(values), lambda v: F.array_position(v, F.array_max(v)) - 1)
 
 
 def rms(values: Column | str) -> Column:
-    v = _c(values)
-    return F.sqrt(array_sum(F.transform(v, lambda x: x * x)) / F.size(v))
+    return let(_c(values), lambda v: F.sqrt(array_sum(F.transform(v, lambda x: x * x)) / F.size(v)))
 
 
 def norm(values: Column | str) -> Column:
@@ -93,7 +103,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def l1_normalise(values: Column | str, eps: float = 1e-8) -> Column:
     v = _c(values)
-    return F.transform(v, lambda x: x / (array_sum(v) + eps))
+    return let(array_sum(v) + eps, lambda total: F.transform(v, lambda x: x / total))
 
 
 def block_length(n: Column | str, min_b: int = 3, max_fraction: int = 8) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .segments import last_before, next_after, row_numbers, running_sums
@@ -41,13 +41,13 @@ def contacts(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
             .select(*keys, *extra, F.col(position).alias("start"), "end"))
 
 
-def spaced_contacts(df: DataFrame, keys: Sequence[str], min_gap: float,
+def spaced_contacts(df: DataFrame, keys: Sequence[str], min_gap: float | Column,
                     chunk: str | None = None) -> DataFrame:
     """Greedy thinning: keep a contact when it starts ``min_gap`` after the last kept one.
 
     A start at least ``min_gap`` after its predecessor is kept whatever came
     before, so such starts cut each key into independent runs and only a run is
-    folded in order.
+    folded in order. ``min_gap`` may be an expression over the keys.
     """
     extra = [chunk] if chunk else []
     seen = last_before(df, keys, ["start"], {"_prev": F.col("start")}, chunk)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.kernels import Rule
+from ..functions.signal import let
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .matrices import TASK_CELLS, as_columns, as_matrix, gather, has_rows, map_rows, vector_sum
 from .selection import top_row
@@ -289,9 +290,9 @@ def scale_factors(fits: DataFrame, eps: float) -> DataFrame:
     sums = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.aggregate(
         F.filter("w", lambda _, i: i % k == c), F.lit(0.0), lambda a, b: a + b) + eps)
     points = (F.size("wave") / k).cast("int")
-    scaled = fits.withColumn("_s", sums)
-    return scaled.withColumn("w", F.transform("w", lambda v, i: v / F.get("_s", i % k))).withColumn(
-        "wave", F.transform("wave", lambda v, i: v * F.get("_s", F.floor(i / points).cast("int")))).drop("_s")
+    return fits.withColumns({
+        "w": let(sums, lambda s: F.transform("w", lambda v, i: v / F.get(s, i % k))),
+        "wave": let(sums, lambda s: F.transform("wave", lambda v, i: v * F.get(s, F.floor(i / points).cast("int"))))})
 
 
 def fit_conditions(blocks: DataFrame, keys: Sequence[str], wanted: DataFrame, rule: Rule,

@@ -38,10 +38,9 @@ def pack_profiles(profiles: DataFrame, keys: Sequence[str], block: str = "stride
     item = F.struct(F.col(channel).alias("c"), F.col(values).cast("array<double>").alias("v"))
     stride = (profiles.groupBy(*keys, F.col(block).cast("bigint").alias("block_id"))
               .agg(F.array_sort(F.collect_list(item)).alias("_c")))
-    channels = F.transform("_c", lambda s: s["v"])
     points = F.sequence(F.lit(0), F.size(F.get("_c", F.lit(0))["v"]) - 1)
     return stride.select(*keys, "block_id", F.size("_c").alias("m"), F.flatten(F.transform(
-        points, lambda t: F.transform(channels, lambda v: F.get(v, t)))).alias("x"))
+        points, lambda t: F.transform("_c", lambda s: F.get(s["v"], t)))).alias("x"))
 
 
 def pack_columns(rows: DataFrame, keys: Sequence[str], column_id: str, values: str, m: int,
@@ -177,8 +176,7 @@ def surrogate_fidelity(pairs: DataFrame, factors: DataFrame, blocks: DataFrame,
     extra = [c for c in pairs.columns if c not in keys]
     summed = vector_sum(rows.select(*keys, *extra, copies("x", "m", "w", "block_id").alias("_e")),
                         [*keys, *extra], "_e", "_s")
-    sst = F.get("_s", F.lit(0))
-    fid = F.transform(F.slice("_s", 2, n_surrogates), lambda e: ratio_to_fidelity(e, sst))
+    fid = F.transform(F.slice("_s", 2, n_surrogates), lambda e: ratio_to_fidelity(e, F.get("_s", F.lit(0))))
     return summed.select(*keys, *extra, F.posexplode(fid).alias("surrogate", "fidelity"))
 
 
