@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, signal
+from ..operators.matrices import dtw_cost
 from . import query, table
 from .relational import r
 
@@ -158,4 +159,4 @@ SELECT vec_id, round(last[65], 6) AS dtw FROM d
 def dtw_to_reference(spark, sf):
     e = vectors(spark, sf)
     ref = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("ref"))
-    return e.join(ref, "label").select("vec_id", r(signal.dtw("v", "ref")).alias("dtw"))
+    return e.join(ref, "label").select("vec_id", r(dtw_cost("v", "ref")).alias("dtw"))

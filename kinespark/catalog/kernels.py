@@ -222,3 +222,50 @@ def external_reliability(spark, sf):
     trials = b.select(*KEY).distinct()
     out, _ = reliability.external(trials, b, n_boot=12, n_starts=2, k=3, rule=replace(kernels.EXTERNAL, **SHORT))
     return out
+
+
+@query("emg_chain")
+def emg_chain(spark, sf):
+    """Signal conditioning of every vector taken as a short 1 kHz channel."""
+    from ..config import Preprocess
+    from ..functions import signal
+    from ..plans.preprocess import emg_chain as chain
+    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64).select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(1000.0).alias("fs"))
+    done = rows.select("vec_id", signal.clip_fraction("v").alias("clip_frac"), chain(Preprocess())("v", "fs").alias("_e"))
+    return done.select("vec_id", "clip_frac", r(F.array_max("_e.env")).alias("peak"),
+                       r(signal.rms("_e.filtered")).alias("rms"), "_e.notch_freq", "_e.ratio_pre_max")
+
+
+def variant_inputs(spark, sf):
+    """Bounds and null thresholds taken from the data, for every subject and tested speed."""
+    b, stable, factors = stable_tables(spark, sf)
+    group = ["dataset", "subject", "trial"]
+    fid = cut_lineage(fidelity.reference(stable, factors, b))
+    bounds = fid.groupBy(*group).agg(
+        F.percentile("fidelity_ref_to_q", 0.2).alias("L_ref_fidelity"), F.lit(0.5).alias("L_ref_cosine_median"),
+        F.lit(10.0).alias("U_ref_dtw_mean"), F.lit(89.0).alias("U_ref_principal_angle_max_deg"))
+    null = fid.select(*group, "q_speed_mps", (F.col("fidelity_ref_to_q") - 0.05).alias("F_null_95"))
+    return b, stable, cut_lineage(bounds), null
+
+
+@query("variant_floors")
+def variant_floors(spark, sf):
+    b, stable, bounds, null = variant_inputs(spark, sf)
+    quick = {v.name: replace(v, rule=replace(v.rule, **SHORT)) for v in sensitivity.VARIANTS}
+    parts = [sensitivity.variant_floors(quick[n], stable, bounds, null, b, n_starts=2)
+             for n in ("stride_half", "matching_euclidean")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("breakpoint_crosscheck")
+def breakpoint_crosscheck(spark, sf):
+    """Hinge and mean-shift breakpoints of each nation's price curve over order years."""
+    from ..plans import changepoint
+    from .statistics import year_profile
+    within, pairs = year_profile(spark, sf)
+    group = ["dataset", "subject", "trial"]
+    curve = cut_lineage(pairs.groupBy(*group, F.col("speed_b_mps").alias("q_speed_mps")).agg(
+        F.avg("fidelity_a_to_b").alias("fidelity_ref_to_q"), F.max("fidelity_a_to_b").alias("fidelity_q_to_ref")))
+    floors = within.groupBy(*group).agg(F.min("speed_mps").alias("floor_speed_mps"))
+    return changepoint.crosscheck(curve, floors, n_grid=400)

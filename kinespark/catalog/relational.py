@@ -240,14 +240,14 @@ WITH w AS (SELECT o_custkey,
   avg(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH') AS high,
   avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS low
   FROM orders GROUP BY 1)
-SELECT o_custkey, round(urgent, 4) AS urgent, round(high, 4) AS high, round(low, 4) AS low FROM w
+SELECT o_custkey, round(urgent, 6) AS urgent, round(high, 6) AS high, round(low, 6) AS low FROM w
 WHERE urgent IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL
 """)
 def pivot_complete_case(spark, sf):
     levels = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low"}
     orders = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(*levels))
     wide = selection.complete_pivot(orders, ["o_custkey"], "o_orderpriority", list(levels), "o_totalprice")
-    return wide.select("o_custkey", *[r(F.col(f"`{k}`"), 4).alias(v) for k, v in levels.items()])
+    return wide.select("o_custkey", *[r(F.col(f"`{k}`")).alias(v) for k, v in levels.items()])
 
 
 @query("channel_shift", """

@@ -125,7 +125,8 @@ def daily_baseline(spark, sf):
 WITH {DRIFT} SELECT user_id, stride FROM o GROUP BY 1, 2 HAVING NOT bool_or(outlier)
 """)
 def drift_union(spark, sf):
-    kept, _ = quantiles.drift_union(daily_baseline(spark, sf), ["user_id"], "event_type", "stride", "base")
+    kept, _ = quantiles.drift_union(daily_baseline(spark, sf), ["user_id"], "event_type", "stride", "base",
+                                      small_groups=True)  # one row per day
     return kept
 
 
@@ -134,7 +135,8 @@ WITH {DRIFT} SELECT user_id, event_type, round(any_value(med), 6) AS baseline_me
   round(avg(outlier::INT::DOUBLE), 6) AS outlier_frac, avg(outlier::INT::DOUBLE) > 0.2 AS drift_fail FROM o GROUP BY 1, 2
 """)
 def drift_channels(spark, sf):
-    _, channels = quantiles.drift_union(daily_baseline(spark, sf), ["user_id"], "event_type", "stride", "base")
+    _, channels = quantiles.drift_union(daily_baseline(spark, sf), ["user_id"], "event_type", "stride", "base",
+                                      small_groups=True)  # one row per day
     return channels.select("user_id", "event_type", r("baseline_med").alias("baseline_med"),
                            r("outlier_frac").alias("outlier_frac"), "drift_fail")
 
@@ -182,7 +184,7 @@ def snr_ratio(spark, sf):
         F.sqrt(F.avg(F.when(act, sq))).alias("active"), F.sqrt(F.avg(F.when(~act, sq))).alias("base"))
     snr = per.where("active IS NOT NULL AND base IS NOT NULL").select(
         "user_id", (F.col("active") / (F.col("base") + 1e-8)).alias("snr"))
-    med = quantiles.exact_quantiles(snr, ["user_id"], "snr", {"snr_median": 0.5})
+    med = quantiles.exact_quantiles(snr, ["user_id"], "snr", {"snr_median": 0.5}, small_groups=True)
     n = snr.groupBy("user_id").agg(F.count("*").alias("snr_n"))
     return med.join(n, "user_id").select("user_id", r("snr_median").alias("snr_median"), "snr_n",
                                          (F.col("snr_median") < 3.0).alias("low_snr"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import selection, statistics
+from ..operators.quantiles import exact_quantiles
+from ..plans import reorganisation
+from ..session import cut_lineage
 from . import query, table
 from .relational import r
 
+YEAR_SPEED = {1996: 5.0, 1997: 4.0, 1998: 3.33, 1999: 3.0, 2000: 2.78}
+
 LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 IN_LEVELS = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')"
 
@@ -163,3 +168,61 @@ def bland_altman(spark, sf):
     out = statistics.bland_altman(status_panel(spark, sf), "O", "F", ["c_mktsegment"])
     return out.select("c_mktsegment", *[r(c, 4).alias(c) for c in (
         "mean_diff", "sd_diff", "loa_lower", "loa_upper")], "n")
+
+
+def year_profile(spark, sf):
+    """Nations as subjects and order years as speeds: within-speed reliability and pairwise fidelity."""
+    speed = F.create_map(*[F.lit(x) for kv in YEAR_SPEED.items() for x in kv])
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", (F.col("o_totalprice") / 1e6).alias("v"), speed[F.year("o_orderdate")].alias("speed_mps"))
+    customers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("subject"))
+    rows = orders.where("speed_mps IS NOT NULL").join(customers, "o_custkey")
+    key = ["subject", "speed_mps"]
+    stats = rows.groupBy(*key).agg(F.avg("v").alias("within_fid_mean")).join(
+        exact_quantiles(rows, key, "v", {"within_fid_q10": 0.10}), key)
+    within = cut_lineage(stats.withColumn("dataset", F.lit("orders")).withColumn("trial", F.lit(0)))
+    group = ["dataset", "subject", "trial"]
+    from ..operators.joins import ordered_pairs
+    pairs = ordered_pairs(within, group, "speed_mps").select(
+        *group, F.col("speed_mps_a").alias("speed_a_mps"), F.col("speed_mps_b").alias("speed_b_mps"),
+        (0.7 * F.col("within_fid_mean_a") + F.col("within_fid_q10_b")).alias("fidelity_a_to_b"))
+    return within, pairs
+
+
+YEARS = """y AS (SELECT c_nationkey::VARCHAR AS subject, year(o_orderdate) AS yr, avg(o_totalprice / 1e6) AS m, quantile_cont(o_totalprice / 1e6, 0.1) AS q
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2),
+t AS (SELECT f.subject, f.yr - 1996 AS ord, ['5.0->4.0', '4.0->3.33', '3.33->3.0', '3.0->2.78'][f.yr - 1995] AS transition,
+   ['3:20', '4:10', '5:00', '5:33'][f.yr - 1995] AS pace_fast, 0.5::DOUBLE * (f.m + s.m) AS wavg, 0.5::DOUBLE * (f.q + s.q) AS thr,
+   0.5::DOUBLE * ((0.7::DOUBLE * f.m + s.q) + (0.7::DOUBLE * s.m + f.q)) AS cross_avg
+  FROM y f JOIN y s ON s.subject = f.subject AND s.yr = f.yr + 1),
+d AS (SELECT *, wavg - cross_avg AS drop, greatest(0.0::DOUBLE, thr - cross_avg) AS beyond FROM t)"""
+
+
+@query("transition_drops", f"""WITH {YEARS}
+SELECT subject, transition, pace_fast AS pace_fast_min_per_km, round(wavg, 6) AS within_fidelity_avg, round(thr, 6) AS within_q10_threshold,
+  round(cross_avg, 6) AS cross_fidelity_avg, round(drop, 6) AS drop, round(beyond, 6) AS drop_beyond, cross_avg >= thr AS pass_within_q10 FROM d
+""")
+def transition_drops(spark, sf):
+    drops = reorganisation.transition_drops(*year_profile(spark, sf))
+    return drops.select("subject", "transition", "pace_fast_min_per_km", *[r(c).alias(c) for c in (
+        "within_fidelity_avg", "within_q10_threshold", "cross_fidelity_avg", "drop", "drop_beyond")], "pass_within_q10")
+
+
+@query("transition_summary", f"""WITH {YEARS},
+w AS (SELECT subject, transition FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(beyond, 11) DESC, ord) AS k FROM d) WHERE k = 1),
+c AS (SELECT transition, count(*) AS wins FROM w GROUP BY 1),
+g AS (SELECT ord, transition, avg(drop) AS m, stddev_samp(drop) AS sd, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT transition, round(m, 6) AS drop_mean, round(sd, 6) AS drop_sd, n, coalesce(wins, 0)::BIGINT AS n_subjects_max_here,
+  round(m / first_value(m) OVER (ORDER BY ord), 6) AS ratio_vs_5_to_4 FROM g LEFT JOIN c USING (transition)
+""")
+def transition_summary(spark, sf):
+    drops = cut_lineage(reorganisation.transition_drops(*year_profile(spark, sf)))
+    out = reorganisation.group_summary(drops, reorganisation.max_reorganisation(drops))
+    return out.select("transition", r("drop_mean").alias("drop_mean"), r("drop_sd").alias("drop_sd"), "n",
+                      "n_subjects_max_here", r("ratio_vs_5_to_4").alias("ratio_vs_5_to_4"))
+
+
+@query("transition_tests")
+def transition_tests(spark, sf):
+    return reorganisation.transition_tests(reorganisation.transition_drops(*year_profile(spark, sf)))

@@ -113,23 +113,3 @@ def block_length(n: Column | str, min_b: int = 3, max_fraction: int = 8) -> Colu
     root = F.floor(F.sqrt(size.cast("double"))).cast("int")
     return F.when(size > 0, F.greatest(F.lit(1), F.least(F.greatest(F.lit(min_b), F.least(top, root)), size))
                   ).otherwise(F.lit(1))
-
-
-def dtw(a: Column | str, b: Column | str) -> Column:
-    """Unconstrained dynamic-time-warping cost with absolute differences.
-
-    Row-by-row dynamic programming; each step folds one row of the cost table.
-    """
-    x, y = _c(a), _c(b)
-    inf = F.lit(float("inf"))
-    first = F.concat(F.array(F.lit(0.0)), F.array_repeat(inf, F.size(y)))
-
-    def next_row(prev: Column, xi: Column) -> Column:
-        cells = F.zip_with(y, F.sequence(F.lit(0), F.size(y) - 1), lambda yj, j: F.struct(
-            F.abs(xi - yj).alias("cost"), F.least(F.get(prev, j), F.get(prev, j + 1)).alias("best")))
-        return F.aggregate(
-            cells, F.array(inf),
-            lambda row, cell: F.concat(row, F.array(
-                cell["cost"] + F.least(cell["best"], F.element_at(row, -1)))))
-
-    return F.element_at(F.aggregate(x.cast("array<double>"), first, next_row), -1)

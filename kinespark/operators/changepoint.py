@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import next_after, running_sums
+from ..session import cut_lineage
+from .segments import ordered_scan
 
 
 def single_mean_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str,
@@ -17,12 +18,11 @@ def single_mean_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     Costs come from running sums of y and y squared about the key's mean, so
     every split is priced in one ordered pass.
     """
-    stats = df.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.count("*").alias("_n"))
+    stats = cut_lineage(df.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.count("*").alias("_n")))
     centred = df.join(stats.where("_n >= 2"), list(keys)).withColumn("_y", F.col(y) - F.col("_mean"))
     totals = centred.groupBy(*keys).agg(F.sum("_y").alias("_sum"), F.sum(F.col("_y") * F.col("_y")).alias("_sumsq"))
-    scan = running_sums(centred, keys, order, {
-        "i": F.lit(1).cast("bigint"), "_s": F.col("_y"), "_q": F.col("_y") * F.col("_y")}, chunk)
-    scan = next_after(scan, keys, order, {"_low": F.col(x)}, chunk).join(totals, list(keys))
+    scan = ordered_scan(centred, keys, order, after={"_low": F.col(x)}, chunk=chunk, sums={
+        "i": F.lit(1).cast("bigint"), "_s": F.col("_y"), "_q": F.col("_y") * F.col("_y")}).join(totals, list(keys))
     rest = F.col("_n") - F.col("i")
     left = F.col("_q") - F.col("_s") * F.col("_s") / F.col("i")
     tail = F.col("_sum") - F.col("_s")

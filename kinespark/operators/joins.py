@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .segments import last_before, next_after
+from .segments import ordered_scan
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "row") -> DataFrame:
@@ -88,8 +88,7 @@ def nearest_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_i
     if chunk_width:
         merged, chunk = merged.withColumn("_chunk", F.floor(F.col("_v") / chunk_width)), "_chunk"
     order = ["_v", "_side", "_id"]
-    merged = last_before(merged, keys, order, {"_down": F.col("_cand")}, chunk)
-    merged = next_after(merged, keys, order, {"_up": F.col("_cand")}, chunk)
+    merged = ordered_scan(merged, keys, order, before={"_down": F.col("_cand")}, after={"_up": F.col("_cand")}, chunk=chunk)
     below, above = F.col("_v") - F.col("_down"), F.col("_up") - F.col("_v")
     up_wins = above <= below + 1e-12 if prefer_larger else above < below
     pick = F.when(F.col("_down").isNull() | up_wins, F.coalesce("_up", "_down")).otherwise(F.col("_down"))

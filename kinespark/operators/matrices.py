@@ -20,6 +20,8 @@ from ..functions import kernels
 
 # Largest condition, in matrix cells, that is handed to one task as a whole (32 MiB of doubles).
 TASK_CELLS = 1 << 22
+# Cells worked on at once inside a Python batch.
+BATCH_CELLS = 1 << 20
 
 
 def as_matrix(values, rows: int) -> np.ndarray:
@@ -161,16 +163,27 @@ def surrogate_fidelity(pairs: DataFrame, factors: DataFrame, blocks: DataFrame,
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def copies(x: pd.Series, m: pd.Series, w: pd.Series, block: pd.Series) -> pd.Series:
-        out = []
-        for xi, mi, wi, bi in zip(x, m, w, block):
-            X, W = as_columns(xi, mi), as_matrix(wi, mi)
-            errors = []
-            for i in range(n_surrogates):
-                rng = np.random.default_rng([seed + i, int(bi)])
-                S = kernels.phase_surrogates(X, n_iter, rng, 1)[0]
-                errors.append(kernels.reconstruction(W, S)[0])
-            # surrogates only reorder values, so they all share the stride's total
-            out.append([float(np.square(X).sum()), *errors])
+        out: list = [None] * len(x)
+        # strides of one shape sharing factors are randomised and projected together
+        alike: dict[tuple, list[int]] = {}
+        for i, (xi, mi, wi) in enumerate(zip(x, m, w)):
+            alike.setdefault((len(xi), int(mi), np.asarray(wi).tobytes()), []).append(i)
+        for (cells, mi, _), members in alike.items():
+            W = as_matrix(w.iloc[members[0]], mi)
+            size = max(1, BATCH_CELLS // cells)
+            for part in (members[a:a + size] for a in range(0, len(members), size)):
+                X = np.stack([as_columns(x.iloc[i], mi) for i in part])
+                # surrogates only reorder values, so they all share the stride's total
+                errors = [np.square(X).sum(axis=(1, 2))]
+                for s in range(n_surrogates):
+                    start = np.stack([np.random.default_rng([seed + s, int(block.iloc[i])]).permuted(X[j], axis=-1)
+                                      for j, i in enumerate(part)])
+                    S = kernels.phase_surrogates(X, start, n_iter)
+                    flat = S.transpose(1, 0, 2).reshape(mi, -1)
+                    rest = np.square(flat - W @ kernels.nnls(W, flat)).sum(axis=0)
+                    errors.append(rest.reshape(len(part), -1).sum(axis=1))
+                for i, e in zip(part, np.stack(errors, axis=1)):
+                    out[i] = e
         return pd.Series(out)
 
     extra = [c for c in pairs.columns if c not in keys]

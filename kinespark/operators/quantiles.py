@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Steps per factor e of the value scale: a bucket spans 1/65536 of its value.
 BUCKETS_PER_EFOLD = 65536
 MAD_TO_SD = 1.4826
@@ -18,14 +20,20 @@ def _bucket(value: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+                    probs: dict[str, float], small_groups: bool = False) -> DataFrame:
     """Per-key exact quantiles, one output column per entry of ``probs``.
 
     The built-in exact percentile keeps every distinct value of a group in one
     task. Here a first pass counts values per (key, bucket), which combines on
     the map side; the buckets holding the wanted ranks are then the only ones
     whose values are looked at. A hot key therefore spreads over all tasks.
+    ``small_groups`` states that every group is known to be short (the strides
+    of a trial) and uses the built-in aggregate.
     """
+    if small_groups:
+        v = F.col(value).cast("double")
+        return df.where(v.isNotNull()).groupBy(*keys).agg(
+            *[F.percentile(v, float(p)).alias(n) for n, p in probs.items()])
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v")).withColumn("_b", _bucket(F.col("_v")))
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
@@ -37,17 +45,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # floating rank position per quantile, and the two integer ranks around it
     positions = [(F.lit(p) * (F.col("_total") - 1)) for p in probs.values()]
     ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in positions for f in (F.floor, F.ceil)]))
-    wanted = ranked.select(
-        *keys, "_b", "_skip", "_total",
-        F.filter(ranks, lambda r: (r >= F.col("_skip")) & (r < F.col("_skip") + F.col("_n"))).alias("_ranks")
-    ).where(F.size("_ranks") > 0)
-    values = (rows.join(wanted.select(*keys, "_b"), [*keys, "_b"], "left_semi")
-              .groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n")))
+    # a few rows per key: the buckets a wanted rank falls into
+    wanted = ranked.where(F.exists(ranks, lambda r: (r >= F.col("_skip")) & (r < F.col("_skip") + F.col("_n")))).select(
+        *keys, "_b", "_skip", "_total")
+    values = rows.join(wanted, [*keys, "_b"]).groupBy(*keys, "_b", "_skip", "_total", "_v").agg(
+        F.count("*").alias("_n"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.join(wanted, [*keys, "_b"]).withColumn(
-        "_upto", F.col("_skip") + F.sum("_n").over(inside))
+    placed = values.withColumn("_upto", F.col("_skip") + F.sum("_n").over(inside))
     hits = placed.select(*keys, "_total", "_v", F.explode(F.filter(
-        "_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))).alias("_rank"))
+        ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))).alias("_rank"))
     picked = hits.groupBy(*keys).agg(
         F.first("_total").alias("_total"),
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
@@ -61,20 +67,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return picked.select(*keys, *[result(p).alias(n) for n, p in probs.items()])
 
 
-def median_and_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def median_and_scale(df: DataFrame, keys: Sequence[str], value: str, small_groups: bool = False) -> DataFrame:
     """Per-key median and scaled median absolute deviation."""
-    med = exact_quantiles(df, keys, value, {"med": 0.5})
+    # a few numbers per key, used by both passes that follow
+    med = cut_lineage(exact_quantiles(df, keys, value, {"med": 0.5}, small_groups))
     spread = df.where(F.col(value).isNotNull()).join(med, list(keys)).select(
         *keys, F.abs(F.col(value) - F.col("med")).alias("_dev"))
-    mad = exact_quantiles(spread, keys, "_dev", {"_mad": 0.5})
+    mad = exact_quantiles(spread, keys, "_dev", {"_mad": 0.5}, small_groups)
     return med.join(mad, list(keys)).select(
         *keys, "med", (F.lit(MAD_TO_SD) * F.col("_mad")).alias("mad_scaled"))
 
 
 def duration_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float,
-                    mad_k: float) -> DataFrame:
+                    mad_k: float, small_groups: bool = False) -> DataFrame:
     """Per-key acceptance range: the fixed range cut by ``mad_k`` robust deviations."""
-    stats = median_and_scale(df, keys, value)
+    stats = median_and_scale(df, keys, value, small_groups)
     reach = F.lit(float(mad_k)) * F.col("mad_scaled")
     return stats.select(
         *keys, "med", "mad_scaled",
@@ -83,19 +90,20 @@ def duration_bounds(df: DataFrame, keys: Sequence[str], value: str, lo: float, h
 
 
 def duration_screen(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float,
-                    mad_k: float) -> DataFrame:
+                    mad_k: float, small_groups: bool = False) -> DataFrame:
     """Rows whose value lies inside their key's acceptance range, ends included."""
-    bounds = duration_bounds(df, keys, value, lo, hi, mad_k).select(*keys, "lo", "hi")
+    bounds = duration_bounds(df, keys, value, lo, hi, mad_k, small_groups).select(*keys, "lo", "hi")
     return (df.join(bounds, list(keys))
             .where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))).drop("lo", "hi"))
 
 
-def robust_outliers(df: DataFrame, keys: Sequence[str], value: str, z_max: float) -> DataFrame:
+def robust_outliers(df: DataFrame, keys: Sequence[str], value: str, z_max: float,
+                    small_groups: bool = False) -> DataFrame:
     """Add ``z`` and ``outlier``: robust z-score against the key's median.
 
     A zero spread divides by 1e-12, so any departure from the median is an outlier.
     """
-    stats = median_and_scale(df, keys, value)
+    stats = median_and_scale(df, keys, value, small_groups)
     scale = F.when(F.col("mad_scaled") > 0, F.col("mad_scaled")).otherwise(F.lit(1e-12))
     return (df.join(stats, list(keys))
             .withColumn("z", F.abs(F.col(value) - F.col("med")) / scale)
@@ -103,13 +111,14 @@ def robust_outliers(df: DataFrame, keys: Sequence[str], value: str, z_max: float
 
 
 def drift_union(df: DataFrame, unit: Sequence[str], channel: str, stride: str, value: str,
-                z_max: float = 3.0, fail_fraction: float = 0.20) -> tuple[DataFrame, DataFrame]:
+                z_max: float = 3.0, fail_fraction: float = 0.20,
+                small_groups: bool = False) -> tuple[DataFrame, DataFrame]:
     """Baseline drift over all channels of a unit.
 
     Returns the strides that are no outlier in any channel, and per channel the
     outlier share with its failure flag. Failed channels still count in the union.
     """
-    marked = robust_outliers(df, [*unit, channel], value, z_max)
+    marked = robust_outliers(df, [*unit, channel], value, z_max, small_groups)
     kept = (marked.groupBy(*unit, stride).agg(F.bool_or("outlier").alias("_bad"))
             .where(~F.col("_bad")).drop("_bad"))
     channels = marked.groupBy(*unit, channel).agg(

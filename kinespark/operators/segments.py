@@ -18,71 +18,75 @@ BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 AFTER = (1, Window.unboundedFollowing)
 
+Named = dict[str, Column]
+
 
 def _window(keys: Sequence[str], order: Sequence[str], rows: tuple[int, int]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
 
 
-def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
-    return df.join(carry, [*keys, chunk], "left")
-
+def _scan_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named, before: Named,
+                  after: Named, chunk: str) -> DataFrame:
+    place = F.struct(*order)
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 sums: dict[str, Column], chunk: str | None = None) -> DataFrame:
-    """Add inclusive running sums along the order of each key."""
-    if chunk is None:
-        w = _window(keys, order, UPTO)
-        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
-    totals = df.groupBy(*keys, chunk).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    past = _window(keys, [chunk], BEFORE)
-    carry = totals.select(*keys, chunk, *[F.sum(n).over(past).alias(f"_past_{n}") for n in sums])
-    local = _window([*keys, chunk], order, UPTO)
-    # the whole-key sum of earlier chunks plus the running sum inside this one
-    out = _join_carry(df, carry, keys, chunk).select(
-        *df.columns,
-        *[F.when(F.sum(e).over(local).isNotNull() | F.col(f"_past_{n}").isNotNull(),
-                 F.coalesce(F.col(f"_past_{n}"), F.lit(0)) + F.coalesce(F.sum(e).over(local), F.lit(0))
-                 ).alias(n) for n, e in sums.items()])
-    return out
+    def edge(pick, value: Column) -> Column:
+        return pick(value, F.when(value.isNotNull(), place))
+
+    # one map-side combined row per (key, chunk): its sums, its last and its first value
+    parts = df.groupBy(*keys, chunk).agg(
+        *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
+        *[edge(F.max_by, e).alias(f"_b_{n}") for n, e in before.items()],
+        *[edge(F.min_by, e).alias(f"_a_{n}") for n, e in after.items()])
+    past, future = _window(keys, [chunk], BEFORE), _window(keys, [chunk], AFTER)
+    carry = parts.select(
+        *keys, chunk, *[F.sum(f"_s_{n}").over(past).alias(f"_s_{n}") for n in sums],
+        *[F.last(f"_b_{n}", True).over(past).alias(f"_b_{n}") for n in before],
+        *[F.first(f"_a_{n}", True).over(future).alias(f"_a_{n}") for n in after])
+    inside = [*keys, chunk]
+    upto, local_past, local_future = (_window(inside, order, r) for r in (UPTO, BEFORE, AFTER))
+
+    def total(n: str, e: Column) -> Column:
+        here, earlier = F.sum(e).over(upto), F.col(f"_s_{n}")
+        return F.coalesce(here + earlier, here, earlier).alias(n)
+
+    return df.join(carry, inside, "left").select(
+        *df.columns, *[total(n, e) for n, e in sums.items()],
+        *[F.coalesce(F.last(e, True).over(local_past), F.col(f"_b_{n}")).alias(n) for n, e in before.items()],
+        *[F.coalesce(F.first(e, True).over(local_future), F.col(f"_a_{n}")).alias(n) for n, e in after.items()])
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named | None = None,
+                 before: Named | None = None, after: Named | None = None, chunk: str | None = None) -> DataFrame:
+    """Add columns that depend on the order of each key's rows.
+
+    ``sums``: inclusive running sums. ``before``: the last non-null value
+    strictly before the row. ``after``: the first non-null value strictly after.
+    """
+    sums, before, after = sums or {}, before or {}, after or {}
+    if chunk is not None:
+        return _scan_chunked(df, keys, order, sums, before, after, chunk)
+    upto, past, future = (_window(keys, order, r) for r in (UPTO, BEFORE, AFTER))
+    return df.select("*", *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
+                     *[F.last(e, True).over(past).alias(n) for n, e in before.items()],
+                     *[F.first(e, True).over(future).alias(n) for n, e in after.items()])
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named,
+                 chunk: str | None = None) -> DataFrame:
+    return ordered_scan(df, keys, order, sums=sums, chunk=chunk)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                 chunk: str | None = None) -> DataFrame:
     """1-based position of each row in its key."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk)
+    return ordered_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, chunk=chunk)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                values: dict[str, Column], chunk: str | None = None) -> DataFrame:
-    """Add, per row, the last non-null value strictly before it in its key."""
-    if chunk is None:
-        w = _window(keys, order, BEFORE)
-        return df.select("*", *[F.last(e, True).over(w).alias(n) for n, e in values.items()])
-    place = F.struct(*order)
-    tails = df.groupBy(*keys, chunk).agg(
-        *[F.max_by(e, F.when(e.isNotNull(), place)).alias(n) for n, e in values.items()])
-    past = _window(keys, [chunk], BEFORE)
-    carry = tails.select(*keys, chunk, *[F.last(n, True).over(past).alias(f"_past_{n}") for n in values])
-    local = _window([*keys, chunk], order, BEFORE)
-    return _join_carry(df, carry, keys, chunk).select(
-        *df.columns,
-        *[F.coalesce(F.last(e, True).over(local), F.col(f"_past_{n}")).alias(n)
-          for n, e in values.items()])
-
-
-def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-               values: dict[str, Column], chunk: str | None = None) -> DataFrame:
-    """Add, per row, the first non-null value strictly after it in its key."""
-    if chunk is None:
-        w = _window(keys, order, AFTER)
-        return df.select("*", *[F.first(e, True).over(w).alias(n) for n, e in values.items()])
-    place = F.struct(*order)
-    heads = df.groupBy(*keys, chunk).agg(
-        *[F.min_by(e, F.when(e.isNotNull(), place)).alias(n) for n, e in values.items()])
-    future = _window(keys, [chunk], AFTER)
-    carry = heads.select(*keys, chunk, *[F.first(n, True).over(future).alias(f"_next_{n}") for n in values])
-    local = _window([*keys, chunk], order, AFTER)
-    return _join_carry(df, carry, keys, chunk).select(
-        *df.columns,
-        *[F.coalesce(F.first(e, True).over(local), F.col(f"_next_{n}")).alias(n)
-          for n, e in values.items()])
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Named,
+                chunk: str | None = None) -> DataFrame:
+    return ordered_scan(df, keys, order, before=values, chunk=chunk)
+
+
+def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Named,
+               chunk: str | None = None) -> DataFrame:
+    return ordered_scan(df, keys, order, after=values, chunk=chunk)

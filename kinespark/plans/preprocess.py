@@ -248,7 +248,7 @@ def preprocess(signals: DataFrame, channel_map: DataFrame, config: Config = Conf
     touch = cut_lineage(force_contacts(signals, config))
     windows = steps.stride_windows(touch, TRIAL).withColumn("duration", (F.col("b") - F.col("a")) / F.col("fs"))
     screened = cut_lineage(duration_screen(windows, [*TRIAL, "parity"], "duration", s.stride_duration_min_s,
-                                           s.stride_duration_max_s, s.stride_duration_mad_k).drop("duration"))
+                                           s.stride_duration_max_s, s.stride_duration_mad_k, small_groups=True).drop("duration"))
     scores = parity_scores(emg, screened, config)
     chosen = cut_lineage(choose_parity(scores, TRIAL, s.min_strides))
     toes = touch.select(*TRIAL, F.col("start").alias("a"), F.col("end").alias("toe"))
@@ -257,7 +257,8 @@ def preprocess(signals: DataFrame, channel_map: DataFrame, config: Config = Conf
     valid = cut_lineage(valid)
     passing = emg.join(flags.where(~F.col("pre_fail")).select(*TRIAL, "muscle"), [*TRIAL, "muscle"], "left_semi")
     base = cut_lineage(baseline_medians(passing, valid, config))
-    kept, drift = drift_union(base, TRIAL, "muscle", "a", "base", s.drift_mad_z, s.drift_channel_fail_frac)
+    kept, drift = drift_union(base, TRIAL, "muscle", "a", "base", s.drift_mad_z, s.drift_channel_fail_frac,
+                              small_groups=True)
     # a trial with no channel left to check keeps its windows
     checked = passing.select(*TRIAL).distinct()
     final = cut_lineage(valid.join(kept, [*TRIAL, "a"], "left_semi").unionByName(

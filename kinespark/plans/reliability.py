@@ -35,6 +35,12 @@ def _conditions(stable: DataFrame, blocks: DataFrame) -> DataFrame:
     return stable.select(*KEY, "k").join(shape, KEY, "left")
 
 
+def numbered_subjects(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Position of each row in subject order; a name prefix never decreases along that order, so it cuts the scan."""
+    cut = rows.withColumn("_prefix", F.substring("subject", 1, 6))
+    return row_numbers(cut, [], order, "_rn", chunk="_prefix").drop("_prefix")
+
+
 def within_speed(stable: DataFrame, blocks: DataFrame, n_boot: int = WITHIN_BOOT, n_starts: int = WITHIN_STARTS,
                  seed: int = WITHIN_SEED, rule: kernels.Rule = kernels.WITHIN, limit: int = TASK_CELLS) -> DataFrame:
     """Mean and 10 % quantile of half-split fidelity for every stable condition.
@@ -98,7 +104,7 @@ def envelope(stable: DataFrame, blocks: DataFrame, n_boot: int = ENVELOPE_BOOT,
     """
     rows = _conditions(stable.where(truthy("pass_stability") & (F.col("speed_key") == reference_key)), blocks)
     rows = rows.join(_envelope_blocks(blocks), KEY, "left")
-    indexed = row_numbers(rows, [], ["subject", "dataset", "trial"], "_rn")
+    indexed = numbered_subjects(rows, ["subject", "dataset", "trial"])
     rows = cut_lineage(indexed.withColumn("draw_seed", (F.lit(seed) + (F.col("_rn") - 1) * 1000).cast("bigint")).drop("_rn"))
     ready = rows.where((F.floor(F.col("n_strides") / 2) >= 2) & F.col("points").isNotNull()).select(
         *KEY, "k", "n_strides", "block", "draw_seed")
@@ -173,7 +179,7 @@ def external(trials: DataFrame, blocks: DataFrame, done: DataFrame | None = None
     from ..operators.selection import first_values
     first = first_values(trials.select(*KEY), ["dataset", "subject"], ["trial", "speed_key"])
     # the index feeds the seed, so it is taken before finished subjects are left out
-    indexed = row_numbers(first, [], ["subject", "dataset"], "_rn").withColumn(
+    indexed = numbered_subjects(first, ["subject", "dataset"]).withColumn(
         "draw_seed", (F.lit(EXTERNAL_SEED) + EXTERNAL_SEED_STEP * (F.col("_rn") - 1)).cast("bigint")).drop("_rn")
     todo = remaining(indexed, done, ["subject"]) if done is not None else indexed
     rows = todo.join(factorise.shapes(blocks, KEY), KEY, "left").withColumn("k", F.lit(k))

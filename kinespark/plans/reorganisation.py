@@ -43,25 +43,29 @@ def transition_drops(within: DataFrame, pairwise: DataFrame, dataset: str | None
     if dataset is not None:
         within, pairwise = within.where(F.col("dataset") == dataset), pairwise.where(F.col("dataset") == dataset)
     within = within.dropna("any", subset=["within_fid_mean", "within_fid_q10"])
-    plan = F.broadcast(transitions(within.sparkSession, pairs))
+    plan = transitions(within.sparkSession, pairs)
+    labels = [c for c in plan.columns if c not in ("fast_key", "slow_key")]
+    # each transition once per end and once per direction, so both joins are equi-joins on a literal table
+    ends = F.explode(F.array(F.struct(F.col("fast_key").alias("key"), F.lit(True).alias("is_fast")),
+                             F.struct(F.col("slow_key").alias("key"), F.lit(False).alias("is_fast"))))
+    by_end = F.broadcast(plan.select(*labels, ends.alias("_e")).select(*labels, "_e.*"))
+    ways = F.explode(F.array(
+        F.struct(F.col("fast_key").alias("a"), F.col("slow_key").alias("b"), F.lit(True).alias("is_down")),
+        F.struct(F.col("slow_key").alias("a"), F.col("fast_key").alias("b"), F.lit(False).alias("is_down"))))
+    by_way = F.broadcast(plan.select("transition", ways.alias("_w")).select("transition", "_w.*"))
     w = _single(with_partner(within, pairwise, GROUP).withColumn("key", speed_key("speed_mps")), [*GROUP, "key"],
                 ["within_fid_mean", "within_fid_q10"])
-    # each speed serves as the fast and as the slow end of a transition
-    ends = w.join(plan, (F.col("key") == F.col("fast_key")) | (F.col("key") == F.col("slow_key")))
-    fast = F.col("key") == F.col("fast_key")
-    labels = [c for c in plan.columns if c not in ("fast_key", "slow_key")]
-    sides = ends.groupBy(*GROUP, *labels).agg(
+    fast, down = F.col("is_fast"), F.col("is_down")
+    sides = w.join(by_end, "key").groupBy(*GROUP, *labels).agg(
         F.max(F.when(fast, F.col("within_fid_mean"))).alias("within_fidelity_fast"),
         F.max(F.when(~fast, F.col("within_fid_mean"))).alias("within_fidelity_slow"),
         F.max(F.when(fast, F.col("within_fid_q10"))).alias("within_q10_fast"),
         F.max(F.when(~fast, F.col("within_fid_q10"))).alias("within_q10_slow"))
     p = _single(pairwise.select(*GROUP, speed_key("speed_a_mps").alias("a"), speed_key("speed_b_mps").alias("b"),
                                 "fidelity_a_to_b"), [*GROUP, "a", "b"], ["fidelity_a_to_b"])
-    down = (F.col("a") == F.col("fast_key")) & (F.col("b") == F.col("slow_key"))
-    up = (F.col("a") == F.col("slow_key")) & (F.col("b") == F.col("fast_key"))
-    cross = p.join(plan, down | up).groupBy(*GROUP, "transition").agg(
+    cross = p.join(by_way, ["a", "b"]).groupBy(*GROUP, "transition").agg(
         F.max(F.when(down, F.col("fidelity_a_to_b"))).alias("cross_fidelity_fast_to_slow"),
-        F.max(F.when(up, F.col("fidelity_a_to_b"))).alias("cross_fidelity_slow_to_fast"))
+        F.max(F.when(~down, F.col("fidelity_a_to_b"))).alias("cross_fidelity_slow_to_fast"))
     rows = sides.join(cross, [*GROUP, "transition"]).dropna("any", subset=[
         "within_fidelity_fast", "within_fidelity_slow", "within_q10_fast", "within_q10_slow",
         "cross_fidelity_fast_to_slow", "cross_fidelity_slow_to_fast"])
