@@ -298,6 +298,8 @@ def scale_factors(fits: DataFrame, eps: float) -> DataFrame:
 def fit_conditions(blocks: DataFrame, keys: Sequence[str], wanted: DataFrame, rule: Rule,
                    n_starts: int, normalise: bool = False, limit: int = TASK_CELLS) -> DataFrame:
     """Best fit per (condition, rank) asked for in ``wanted``: (keys, k, seeds), one seed per start."""
+    # a few numbers per fit; written so that both ways and every start read the same list
+    wanted = cut_lineage(wanted)
     small, large = gather(blocks, keys, limit)
     fits = fit_small(small.join(wanted, list(keys)), keys, rule, normalise)
     if has_rows(large):

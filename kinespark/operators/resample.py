@@ -146,8 +146,8 @@ def _large(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme
     sampled = cut_lineage(blocks.join(at, [*keys, "block_id"]).select(
         *run_keys, F.col("position").alias("block_id"), "m", "x"))
     wanted = sampled.select(*run_keys).distinct().join(conditions.select(*keys, "k"), list(keys))
-    seeds = F.transform(F.sequence(F.lit(0), F.lit(n_starts - 1)), lambda j: F.pmod(
-        F.xxhash64(*[F.col(c) for c in run_keys], F.col("k"), j), F.lit(1 << 31)))
+    seeds = F.array(*[F.pmod(F.xxhash64(*[F.col(c) for c in run_keys], F.col("k"), F.lit(j)), F.lit(1 << 31))
+                      for j in range(n_starts)])
     fits = cut_lineage(fit_large(sampled, wanted.withColumn("seeds", seeds), run_keys, rule, normalise, n_starts))
     side = {s: fits.where(F.col("side") == i).select(
         *keys, "replicate", "m", "k", F.col("w").alias(f"w_{s}"), F.col("wave").alias(f"wave_{s}"))
@@ -175,6 +175,7 @@ def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str]
     ``conditions`` carries keys, k, n_strides, block (stride block length),
     draw_seed, and whatever ``fit_seeds(row, replicate, side)`` reads.
     """
+    conditions = cut_lineage(conditions)  # one short row per condition
     small, large = gather(blocks, keys, limit)
     chunk = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(per_task)))
     tasks = small.join(conditions, list(keys)).withColumn("lo", chunk).withColumn(

@@ -46,7 +46,7 @@ def extract(blocks: DataFrame, done: DataFrame | None = None, n_starts: int = N_
     wanted = ranks.select(*KEY, F.explode("_ks").alias("k"))
     if done is not None:
         wanted = wanted.join(done.select(*KEY, "k").distinct(), [*KEY, "k"], "left_anti")
-    seeds = F.transform(F.sequence(F.lit(0), F.lit(n_starts - 1)), lambda j: seed32(*key_text(), F.col("k"), j))
+    seeds = F.array(*[seed32(*key_text(), F.col("k"), F.lit(j)) for j in range(n_starts)])
     fits = factorise.fit_conditions(blocks, KEY, wanted.withColumn("seeds", seeds), rule, n_starts,
                                     normalise=True, limit=limit)
     fits = factorise.explained(fits, rule.eps).withColumn("ok", F.col("fail_reason").isNull())

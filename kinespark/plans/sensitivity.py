@@ -90,8 +90,8 @@ def variant_floors(variant: Variant, stable: DataFrame, bounds: DataFrame, surro
     if variant.stride_fraction < 1.0 or variant.renormalise:
         data = cut_lineage(data)
     shift = F.when(F.col("speed_key") == ref_key, F.lit(SEED)).otherwise(F.lit(SEED + QUERY_SEED_SHIFT))
-    wanted = data.select(*KEY).distinct().join(ref_k, GROUP).withColumn("seeds", F.transform(
-        F.sequence(F.lit(0), F.lit(n_starts - 1)), lambda j: (shift + j).cast("bigint")))
+    wanted = data.select(*KEY).distinct().join(ref_k, GROUP).withColumn(
+        "seeds", F.array(*[(shift + j).cast("bigint") for j in range(n_starts)]))
     fits = cut_lineage(factorise.fit_conditions(data, KEY, wanted, variant.rule, n_starts, limit=limit))
     fits = fits.where(F.col("w").isNotNull())
     ref = fits.where(F.col("speed_key") == ref_key).select(*GROUP, F.col("m").alias("m_ref"), F.col("w").alias("w_ref"),
