@@ -253,14 +253,14 @@ v AS (SELECT *, shh - sh * sh / n AS vhh FROM s),
 f AS (SELECT *, CASE WHEN abs(vxx * vhh - vxh * vxh) > 1e-12 * vxx * greatest(vhh, 1e-300)
    THEN vyy - (vxy * vxy * vhh - 2 * vxy * vhy * vxh + vhy * vhy * vxx) / (vxx * vhh - vxh * vxh)
    ELSE vyy - vxy * vxy / vxx END AS sse FROM v)
-SELECT g AS c_nationkey, round(bp, 5) AS bp, round(sse, 4) AS sse
+SELECT g AS c_nationkey, round(bp, 7) AS bp, round(sse, 4) AS sse
 FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(sse, 6), k) AS rk FROM f) WHERE rk = 1
 """)
 def hinge_breakpoint(spark, sf):
     y = F.log10(1 + F.abs("c_acctbal")) + (F.col("c_custkey") % 7).cast("double") / 7
     pts = table(spark, sf, "customer").select("c_nationkey", (F.col("c_acctbal") / 1000).alias("x"), y.alias("y"))
     best = changepoint.hinge_breakpoint(pts, ["c_nationkey"], "x", "y", n_grid=99, ties=6)
-    return best.select("c_nationkey", r("bp", 5).alias("bp"), r("sse", 4).alias("sse"))
+    return best.select("c_nationkey", r("bp", 7).alias("bp"), r("sse", 4).alias("sse"))
 
 
 @query("participant_index", """

@@ -53,27 +53,36 @@ def hinge_breakpoint(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid:
     step = (hi - lo) / F.lit(float(n_grid - 1))
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(ends, list(keys))
     cx, cy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
-    # first grid index whose breakpoint lies above the point
+    # first grid index whose breakpoint lies above the point, and the hinge height there
     cell = F.greatest(F.lit(0), F.floor((F.col(x) - lo) / step) + 1).cast("bigint")
-    names = {"c1": F.lit(1.0), "cx": cx, "cy": cy, "cxx": cx * cx, "cxy": cx * cy, "cyy": cy * cy}
-    cells = pts.groupBy(*keys, cell.alias("g")).agg(*[F.sum(e).alias(n) for n, e in names.items()])
+    h = F.greatest(F.lit(0.0), lo + F.col("g") * step - F.col(x))
+    names = {"c1": F.lit(1.0), "cx": cx, "cy": cy, "h": h, "hh": h * h, "hx": h * cx, "hy": h * cy,
+             "xx": cx * cx, "xy": cx * cy, "yy": cy * cy}
+    cells = pts.withColumn("g", cell).groupBy(*keys, "g").agg(*[F.sum(e).alias(n) for n, e in names.items()])
     indexes = F.sequence(F.lit(0).cast("bigint"), F.lit(n_grid - 1).cast("bigint"))
     grid = ends.select(*keys, F.explode(indexes).alias("g"))
     # grid rows carry zeros so that every breakpoint sees the cells at or below it
     merged = grid.withColumn("_bp", F.lit(True)).unionByName(cells, allowMissingColumns=True)
     per_cell = merged.groupBy(*keys, "g").agg(
         *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names], F.bool_or("_bp").alias("_bp"))
-    w = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    run = per_cell.select(*keys, "g", "_bp", *[F.sum(n).over(w).alias(n) for n in names],
-                          *[F.sum(n).over(whole).alias(f"t{n[1:]}") for n in ("cxx", "cxy", "cyy")])
-    run = run.where("_bp").join(ends, list(keys)).withColumn("bp", lo + F.col("g") * step)
-    b = F.col("bp") - F.col("_mx")
-    sh = b * F.col("c1") - F.col("cx")
-    shh = b * b * F.col("c1") - 2 * b * F.col("cx") + F.col("cxx")
-    vhh = shh - sh * sh / F.col("_n")
-    vxh = b * F.col("cx") - F.col("cxx")
-    vhy = b * F.col("cy") - F.col("cxy")
+    # moving the breakpoint one step raises every hinge below it by one step, so the
+    # hinge moments are nested running sums of same-signed terms and lose no digits
+    flat = per_cell.select(*keys, "g", "_bp", *[F.sum(n).over(upto).alias(n) for n in ("c1", "cx", "cy", "h", "hh", "hx", "hy")],
+                           *[F.sum(n).over(whole).alias(f"t{n}") for n in ("xx", "xy", "yy")])
+    flat = flat.join(ends, list(keys))
+
+    def earlier(n: str):
+        return F.coalesce(F.sum(n).over(before), F.lit(0.0))
+
+    raised = flat.select(
+        "*", *[(F.col(a) + step * earlier(b)).alias(c) for a, b, c in (
+            ("h", "c1", "sh"), ("hx", "cx", "vxh"), ("hy", "cy", "vhy"))])
+    raised = raised.withColumn("_rise", 2 * step * F.col("sh") + step * step * F.col("c1"))
+    run = raised.withColumn("shh", F.col("hh") + earlier("_rise")).where("_bp").withColumn("bp", lo + F.col("g") * step)
+    vhh, vxh, vhy = F.col("shh") - F.col("sh") * F.col("sh") / F.col("_n"), F.col("vxh"), F.col("vhy")
     vxx, vxy, vyy = F.col("txx"), F.col("txy"), F.col("tyy")
     det = vxx * vhh - vxh * vxh
     line = vyy - vxy * vxy / vxx
