@@ -33,7 +33,7 @@ class Run:
         return self.spark.read.parquet(f"{config.input_root(self.args.input)}/{name}")
 
     def blocks(self) -> DataFrame:
-        return pack_profiles(self.read("stride_profiles"), extraction.KEY)
+        return self.read("stride_blocks")
 
     def write(self, df: DataFrame, name: str, **how) -> None:
         sinks.write_table(df, f"{self.args.out}/{name}", overwrite=self.args.overwrite, **how)
@@ -45,6 +45,13 @@ def run_preprocess(run: Run) -> int:
     sinks.upsert_partitions(out.qc, f"{run.args.out}/preprocessing_qc", ["subject"])
     sinks.upsert_partitions(out.full, f"{run.args.out}/stride_profiles_full", ["subject"])
     sinks.upsert_partitions(out.matched, f"{run.args.out}/stride_profiles", ["subject"])
+    sinks.upsert_partitions(pack_profiles(out.matched, extraction.KEY), f"{run.args.out}/stride_blocks", ["subject"])
+    return 0
+
+
+def run_pack(run: Run) -> int:
+    """Stride profiles from elsewhere into the block table all later stages read."""
+    run.write(pack_profiles(run.read("stride_profiles"), extraction.KEY), "stride_blocks")
     return 0
 
 

@@ -33,7 +33,7 @@ def blocks(spark, sf):
     from ..operators.segments import row_numbers
     # strides are numbered 0, 1, ... in each condition
     numbered = row_numbers(keyed.withColumn("_c", F.floor(F.col("block_id") / 10000)), KEY, ["block_id"], "_rn", "_c")
-    return numbered.select(*KEY, (F.col("_rn") - 1).alias("block_id"), "m", "x")
+    return numbered.select(*KEY, (F.col("_rn") - 1).alias("block_id"), "m", F.lit(64).cast("bigint").alias("cells"), "x")
 
 
 def ready_blocks(spark, sf):

@@ -21,7 +21,7 @@ from ..functions import kernels
 from ..functions.kernels import Rule
 from ..functions.signal import let
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .matrices import TASK_CELLS, as_columns, as_matrix, gather, has_rows, map_rows, vector_sum
+from .matrices import TASK_CELLS, as_columns, as_matrix, cells, gather, has_rows, map_rows, vector_sum
 from .selection import top_row
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -310,7 +310,7 @@ def fit_conditions(blocks: DataFrame, keys: Sequence[str], wanted: DataFrame, ru
 
 def shapes(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Channel count, block count and common block length (NULL when unequal) per condition."""
-    points = F.size("x") / F.col("m")
+    points = cells(blocks) / F.col("m")
     return blocks.groupBy(*keys).agg(
         F.first("m").alias("m"), F.count("*").cast("int").alias("n_strides"), F.min(points).alias("_lo"),
         F.max(points).alias("_hi")).select(

@@ -34,6 +34,11 @@ def as_columns(values, m: int) -> np.ndarray:
     return np.ascontiguousarray(np.asarray(values, dtype=float).reshape(-1, int(m)).T)
 
 
+def cells(blocks: DataFrame) -> Column:
+    """Block size. A stored ``cells`` column spares reading the data just to measure it."""
+    return F.col("cells") if "cells" in blocks.columns else F.size("x").cast("bigint")
+
+
 def pack_profiles(profiles: DataFrame, keys: Sequence[str], block: str = "stride_idx",
                   channel: str = "muscle_idx", values: str = "values") -> DataFrame:
     """One row per stride from one row per (stride, channel)."""
@@ -41,7 +46,8 @@ def pack_profiles(profiles: DataFrame, keys: Sequence[str], block: str = "stride
     stride = (profiles.groupBy(*keys, F.col(block).cast("bigint").alias("block_id"))
               .agg(F.array_sort(F.collect_list(item)).alias("_c")))
     points = F.sequence(F.lit(0), F.size(F.get("_c", F.lit(0))["v"]) - 1)
-    return stride.select(*keys, "block_id", F.size("_c").alias("m"), F.flatten(F.transform(
+    size = F.size("_c").cast("bigint") * F.size(F.get("_c", F.lit(0))["v"])
+    return stride.select(*keys, "block_id", F.size("_c").alias("m"), size.alias("cells"), F.flatten(F.transform(
         points, lambda t: F.transform("_c", lambda s: F.get(s["v"], t)))).alias("x"))
 
 
@@ -77,14 +83,16 @@ def _project(x: pd.Series, m: pd.Series, w: pd.Series) -> pd.DataFrame:
     for i, f in enumerate(factors):
         if f is not None:
             groups.setdefault(f.tobytes(), []).append(i)
-    for rows in groups.values():
-        mats = [as_columns(x.iloc[i], m.iloc[i]) for i in rows]
-        W = as_matrix(factors[rows[0]], m.iloc[rows[0]])
-        X = np.hstack(mats)
-        err = np.square(X - W @ kernels.nnls(W, X)).sum(axis=0)
-        tot = np.square(X).sum(axis=0)
-        edges = np.cumsum([0, *[a.shape[1] for a in mats]])[:-1]
-        out[rows, 0], out[rows, 1] = np.add.reduceat(err, edges), np.add.reduceat(tot, edges)
+    for members in groups.values():
+        W = as_matrix(factors[members[0]], m.iloc[members[0]])
+        size = max(1, BATCH_CELLS // len(x.iloc[members[0]]))
+        for rows in (members[a:a + size] for a in range(0, len(members), size)):
+            mats = [as_columns(x.iloc[i], m.iloc[i]) for i in rows]
+            X = np.hstack(mats)
+            err = np.square(X - W @ kernels.nnls(W, X)).sum(axis=0)
+            tot = np.square(X).sum(axis=0)
+            edges = np.cumsum([0, *[a.shape[1] for a in mats]])[:-1]
+            out[rows, 0], out[rows, 1] = np.add.reduceat(err, edges), np.add.reduceat(tot, edges)
     return pd.DataFrame(out, columns=["sse", "sst"])
 
 
@@ -122,7 +130,7 @@ def gather(blocks: DataFrame, keys: Sequence[str], limit: int = TASK_CELLS) -> t
     a row; the second table keeps the blocks of all others. ``points`` is the
     common block length, NULL when blocks differ.
     """
-    sizes = blocks.groupBy(*keys).agg(F.sum(F.size("x").cast("bigint")).alias("_cells"))
+    sizes = blocks.groupBy(*keys).agg(F.sum(cells(blocks)).alias("_cells"))
     tagged = blocks.join(sizes, list(keys))
     item = F.struct("block_id", "x")
     points = F.size("x") / F.col("m")
