@@ -8,31 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean_floats, coerce_number
 from ..operators.changepoint import hinge_breakpoint, single_mean_shift
 from ..operators.joins import nearest_lookup
+from ..session import cut_lineage
 from .floors import KEYS
 
 
-def fidelity_curve(gates: DataFrame, dataset: str | None = None) -> DataFrame:
-    """Smaller of the two fidelities per tested speed, fastest first."""
+def _curve(gates: DataFrame, dataset: str | None) -> DataFrame:
     rows = clean_floats(gates)
     if dataset is not None:
         rows = rows.where(F.col("dataset") == dataset)
     # least skips NULL, so one missing direction leaves the other
     return rows.select("dataset", "subject", F.col("trial").cast("int").alias("trial"),
                        coerce_number("q_speed_mps").alias("q_speed_mps"),
-                       F.least("fidelity_ref_to_q", "fidelity_q_to_ref").alias("fidelity_min")).orderBy(
-        "dataset", "subject", "trial", F.desc("q_speed_mps"))
+                       F.least("fidelity_ref_to_q", "fidelity_q_to_ref").alias("fidelity_min"))
+
+
+def fidelity_curve(gates: DataFrame, dataset: str | None = None) -> DataFrame:
+    """Smaller of the two fidelities per tested speed, fastest first."""
+    return _curve(gates, dataset).orderBy("dataset", "subject", "trial", F.desc("q_speed_mps"))
 
 
 def crosscheck(gates: DataFrame, floors: DataFrame, n_grid: int = 2000, dataset: str | None = None) -> DataFrame:
     """Hinge and mean-shift breakpoints beside the primary floor, with notes on their agreement."""
-    curve = fidelity_curve(gates, dataset).dropna("any", subset=["q_speed_mps", "fidelity_min"])
+    curve = _curve(gates, dataset).dropna("any", subset=["q_speed_mps", "fidelity_min"])
     curve = curve.withColumn("_back", -F.col("q_speed_mps"))
     sizes = curve.groupBy(*KEYS).agg(
         F.count("*").alias("n_speeds_used"),
         F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list("q_speed_mps"))),
                                  lambda v: F.format_string("%.3f", v)), ",").alias("speeds_desc_mps"))
     sizes = sizes.where("n_speeds_used >= 3")
-    pts = curve.join(sizes.select(*KEYS), KEYS, "left_semi")
+    # a handful of rows per subject, read by both searches and the rounding
+    pts = cut_lineage(curve.join(sizes.select(*KEYS), KEYS, "left_semi"))
     hinge = hinge_breakpoint(pts, KEYS, "q_speed_mps", "fidelity_min", n_grid, ties=14).select(
         *KEYS, F.col("bp").alias("segmented_breakpoint_mps"), F.col("sse").alias("segmented_sse"))
     shift = single_mean_shift(pts, KEYS, ["_back"], "q_speed_mps", "fidelity_min").select(
