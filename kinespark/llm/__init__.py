@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-OPERATORS = ["ngram_join"]
+OPERATORS = ["ngram_join", "secret_scan"]
 
 
 def load_all() -> tuple[dict, dict]:
