@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table bucketed and sorted by ``key`` in the shared folder, and a function that drops it.
+
+    Equi-joins on ``key`` read it where it lies: it is neither shuffled nor sorted again.
+    """
+    spark = df.sparkSession
+    name = f"kinespark_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.table(name), drop
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` narrow rows; otherwise the planner shuffles it.
 

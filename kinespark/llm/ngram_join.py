@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, bounded, cut, query, sorted_groups, starts_of, table
+from .common import binaries, bounded, bucketed, cut, query, sorted_groups, starts_of, table
 from .components import connected_components
 from .text import mix, shingle_sets
 
@@ -375,9 +375,11 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int
     holders = cut(classes.join(wanted, "sid", "left_semi"))
     ids = bounded(holders.select(F.col("rep").alias("id")))
     chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # a repeated doc_id may bring other sets along
+    # a repeated doc_id may bring other sets along; a set that comes twice gives links twice, no other ones. The table is
+    # bucketed by sid: no later join moves the sets again
     sets = chosen.select("text").mapInArrow(_sets(width), "sid long, tokens binary")
-    sets = cut(sets.join(bounded(holders.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]))
+    sets = sets.join(bounded(holders.select("sid")), "sid", "left_semi")
+    sets, drop_sets = bucketed(sets, "sid")
 
     links = cut(_checked(pairs, sets))
     tested = pairs
@@ -394,6 +396,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int
         apart = _by_list(rows).mapInArrow(_apart, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         links = cut(links.unionByName(met).unionByName(_checked(apart, sets)))
 
+    drop_sets()
     labels = connected_components(links).withColumnRenamed("node", "sid")
     named = classes.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
