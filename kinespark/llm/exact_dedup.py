@@ -14,14 +14,16 @@ PREFIX = 256
 def refine(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """The (length, prefix hash) keys that several rows share: only their rows are read in full.
 
-    Lengths and prefix hashes are taken in one pass into a narrow table; the two groupings run on that table.
+    Lengths and prefix hashes are taken in one pass into a narrow table of counts; both groupings run on that table.
     """
     text = dense(F.col("text"))
-    narrow = cut(docs.select(text.alias("d")).select(
+    narrow = (docs.select(text.alias("d")).select(
         F.char_length("d").alias("_len"), F.xxhash64(F.substring("d", 1, prefix)).alias("_prefix")))
-    lengths = narrow.groupBy("_len").agg(F.count("*").alias("c")).where("c > 1")
-    alive = narrow.join(lengths.select("_len"), "_len", "left_semi")
-    return cut(alive.groupBy("_len", "_prefix").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    # rows with equal keys are counted before they meet, so that a hot length brings one row for each of its prefixes
+    kinds = cut(narrow.groupBy("_len", "_prefix").agg(F.count("*").alias("c")))
+    lengths = kinds.groupBy("_len").agg(F.sum("c").alias("n")).where("n > 1")
+    alive = kinds.join(lengths.select("_len"), "_len", "left_semi")
+    return cut(alive.where("c > 1").select("_len", "_prefix"))
 
 
 def decisions(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) -> DataFrame:
