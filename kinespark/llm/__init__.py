@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-OPERATORS = ["ngram_join", "secret_scan", "exact_dedup", "mixing", "sharding", "packing", "language_id", "embedding_dedup", "warc"]
+OPERATORS = ["ngram_join", "secret_scan", "exact_dedup", "mixing", "sharding", "packing", "language_id", "embedding_dedup", "warc", "lm_scoring"]
 
 
 def load_all() -> tuple[dict, dict]:
