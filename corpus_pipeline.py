@@ -1,23 +1,60 @@
-"""The corpus pipeline: documents through language ID, two deduplications, mixing and packing."""
+"""The corpus pipeline: documents through language ID, exact and near deduplication, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run`` writes what a stage
+returns as Parquet in the shared folder and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from kinespark.llm.exact_dedup import drop_copies
+from kinespark.llm.language_id import known_language
+from kinespark.llm.mixing import mixed_documents
 from kinespark.llm.ngram_join import keep_one_per_class
+from kinespark.llm.packing import pack
+from kinespark.session import ensure_checkpoint_dir
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without a letter go."""
+    return known_language(docs)
+
 
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of equal texts."""
+    return drop_copies(docs)
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class."""
     return keep_one_per_class(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them: some not at all, others up to three times."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in bins without two pieces of one source or one text."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture),
+          ("packing", packing)]
+#: language ID and packing are beyond SQL; tests hold the pipeline against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that the stages keep: doc_id, copy, piece, start_word, n_words, bin_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
