@@ -3,7 +3,8 @@
 Sets with a Jaccard similarity of ``t`` or more share a token among their first ``n - ceil(t n) + 1`` tokens under
 EVERY global order of the tokens. The first order is by corpus frequency (rare first), so that passages which many
 documents share stay out of the prefixes; it makes the inverted index. The others run through the token hash upwards
-and downwards; candidates must also share prefix tokens there before their sets are compared.
+and downwards; candidates must also share prefix tokens there before their sets are compared. With prefixes that are
+``l - 1`` tokens longer, similar sets share ``l`` tokens in them, which chance seldom brings about.
 
 Only class representatives of equal sets take part. Pairs inside an index list are never all written: long lists are
 tested against hubs, and what is left apart is compared in blocks that return one link for each pair of components.
@@ -104,9 +105,14 @@ def _prefix_length(n):
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
+def _needed(n):
+    """Tokens that the frequency prefixes of two sets must share (the smaller number of the two sets)."""
+    return 1 + n // 50
+
+
 def _rare_prefix(tokens: np.ndarray, slots: np.ndarray) -> np.ndarray:
     key = (slots[(tokens >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (tokens >> np.uint64(24))
-    return tokens[np.argsort(key, kind="stable")[:_prefix_length(len(tokens))]]
+    return tokens[np.argsort(key, kind="stable")[:_prefix_length(len(tokens)) + _needed(len(tokens)) - 1]]
 
 
 def _index(width: int, sketch):
@@ -153,32 +159,32 @@ def _hub_pairs(token: int, salt: int, sid: np.ndarray, n: np.ndarray, comp: np.n
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of short lists, hub pairs of long ones (kind 0: token null) and the members of long lists (kind 1)."""
+    """Pairs of short lists with the number of lists and the number needed, hub pairs of long lists (which need none
+    more; token is null for both), and the members of long lists."""
     for part in sorted_groups(batches, ["token"]):
-        a, b, rows = [], [], []
+        pairs, hubs, rows = [], [], []
         for token, sid, n in _runs(part):
             if len(sid) <= SHORT_LIST:
                 i, j = np.triu_indices(len(sid), 1)
                 keep = _fits(n[i], n[j])
-                a.append(sid[i[keep]])
-                b.append(sid[j[keep]])
+                i, j = i[keep], j[keep]
+                pairs.append(np.stack([sid[i], sid[j], _needed(np.minimum(n[i], n[j]))], 1))
             else:
                 x, y = _hub_pairs(token, 0, sid, n, sid)
-                a.append(x)
-                b.append(y)
+                hubs.append(np.stack([x, y, np.zeros(len(x), np.int64)], 1))
                 rows.append((token, sid, n))
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield _list_batch(None, pairs[:, 0], pairs[:, 1], None)
+        if pairs or hubs:
+            found, count = np.unique(np.concatenate(pairs + hubs), axis=0, return_counts=True)
+            yield _list_batch(None, found[:, 0], found[:, 1], count, found[:, 2])
         for token, sid, n in rows:
-            yield _list_batch(token, sid, None, n)
+            yield _list_batch(token, sid, None, n, None)
 
 
-def _list_batch(token, a, b, n) -> pa.RecordBatch:
+def _list_batch(token, a, b, n, need) -> pa.RecordBatch:
     rows = len(a)
     fill = lambda x: pa.nulls(rows, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64))
-    return pa.RecordBatch.from_arrays([fill(None if token is None else np.full(rows, token)), fill(a), fill(b), fill(n)],
-                                      names=["token", "a", "b", "n"])
+    columns = [None if token is None else np.full(rows, token), a, b, n, need]
+    return pa.RecordBatch.from_arrays([fill(c) for c in columns], names=["token", "a", "b", "n", "need"])
 
 
 def _hubs(salt: int):
@@ -350,7 +356,7 @@ def _block_stage(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
     return links, rows.join(picked.drop("comp"), "sid")
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int = 2) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are not looked at).
 
     The component is the smallest doc_id reachable over links of Jaccard similarity 0.75 or more between the sets of
@@ -367,8 +373,10 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int
 
     index = texts.select("text").mapInArrow(_index(width, sketch), "token long, sid long, n int")
     lists = cut(index.repartition(_partitions(spark), "token").sortWithinPartitions("token", "sid").mapInArrow(
-        _lists, "token long, a long, b long, n long"))
-    pairs = cut(lists.where("token is null").select("a", "b").distinct())
+        _lists, "token long, a long, b long, n long, need long"))
+    # a pair that also meets in a long list may fall short here: the stages of the long lists have all their pairs
+    pairs = lists.where("token is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    pairs = cut(pairs.where("n >= need").select("a", "b"))
     rows = lists.where("token is not null").select("token", F.col("a").alias("sid"), "n")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(rows.select("sid")).distinct()
