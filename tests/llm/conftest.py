@@ -1,0 +1,11 @@
+import pytest
+
+from kinespark.session import build_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"})
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
