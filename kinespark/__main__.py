@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,15 @@ class Run:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{config.input_root(self.args.input)}/{name}")
 
+    def read_result(self, name: str) -> DataFrame | None:
+        """What an earlier run of the stage wrote, if any."""
+        try:
+            return self.spark.read.parquet(f"{self.args.out}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def blocks(self) -> DataFrame:
         return self.read("stride_blocks")
 
@@ -56,12 +66,15 @@ def run_pack(run: Run) -> int:
 
 
 def run_extract(run: Run) -> int:
-    done = run.read("nmf_summary") if run.args.resume else None
+    done = run.read_result("nmf_summary") if run.args.resume else None
     out = cut_lineage(extraction.extract(run.blocks(), done))
     if done is not None:
-        out = out.unionByName(done, allowMissingColumns=True)
-        sinks.append_rows(out.join(done.select(*extraction.KEY, "k"), [*extraction.KEY, "k"], "left_anti"),
-                          f"{config.input_root(run.args.input)}/nmf_summary")
+        # a condition without any feasible rank has a row whose k is NULL: it is known too
+        known = done.select(*extraction.KEY, "k").distinct().alias("_done")
+        same = [F.col(f"_out.{c}").eqNullSafe(F.col(f"_done.{c}")) for c in [*extraction.KEY, "k"]]
+        fresh = cut_lineage(out.alias("_out").join(known, same, "left_anti"))
+        out = fresh.unionByName(done, allowMissingColumns=True)
+        sinks.append_rows(fresh, f"{run.args.out}/nmf_summary")
     else:
         run.write(out, "nmf_summary")
     return FAILED if out.where(~F.col("ok")).take(1) else 0
@@ -146,7 +159,7 @@ def run_sensitivity(run: Run) -> int:
 
 def run_external(run: Run) -> int:
     blocks = run.blocks()
-    done = run.read("external_reliability") if run.args.resume else None
+    done = run.read_result("external_reliability") if run.args.resume else None
     results, failed = reliability.external(blocks.select(*extraction.KEY).distinct(), blocks, done)
     sinks.append_rows(results, f"{run.args.out}/external_reliability")
     sinks.append_rows(failed, f"{run.args.out}/external_failed")

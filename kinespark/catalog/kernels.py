@@ -7,7 +7,9 @@ conditions: two subjects (label parity) at five speeds.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -22,11 +24,16 @@ SPEEDS = (500, 400, 333, 300, 278)
 SHORT = {"max_iter": 40}
 
 
+def whole_vectors(spark, sf):
+    """All vectors; one that has not 64 numbers is an error."""
+    odd = F.raise_error(F.concat(F.lit("not 64 numbers: vector "), F.col("vec_id").cast("string"))).cast("array<float>")
+    return table(spark, sf, "embeddings").withColumn("embedding", F.when(F.size("embedding") == 64, F.col("embedding")).otherwise(odd))
+
+
 def blocks(spark, sf):
     """All vectors as stride blocks keyed by (dataset, subject, trial, speed_key)."""
     speed = F.element_at(F.array(*[F.lit(s) for s in SPEEDS]), F.floor(F.col("label") / 2).cast("int") % 5 + 1)
-    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
-    keyed = rows.select(
+    keyed = whole_vectors(spark, sf).select(
         F.lit("vectors").alias("dataset"), F.concat(F.lit("S"), F.col("label") % 2).alias("subject"),
         F.lit(0).alias("trial"), speed.alias("speed_key"), F.col("vec_id").alias("block_id"), F.lit(8).alias("m"),
         F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x)).alias("x"))
@@ -41,43 +48,44 @@ def ready_blocks(spark, sf):
     return cut_lineage(blocks(spark, sf))
 
 
-def fits_for(spark, sf, rule, k: int = 3, n_starts: int = 2):
+def fits_for(spark, sf, rule, n_starts: int, k: int = 3):
+    """Fits with the iteration limit, tolerance and number of starts of the stage that uses the rule."""
     b = ready_blocks(spark, sf)
     wanted = b.select(*KEY).distinct().select(*KEY, F.lit(k).alias("k"), F.array(
         *[F.lit(i).cast("bigint") for i in range(n_starts)]).alias("seeds"))
-    fits = factorise.fit_conditions(b, KEY, wanted, replace(rule, **SHORT), n_starts, normalise=True)
+    fits = factorise.fit_conditions(b, KEY, wanted, rule, n_starts, normalise=True)
     return factorise.explained(fits, 1e-8).select(
         *KEY, "k", "seed", "iters", "converged", *[r(c).alias(c) for c in ("sse", "vaf_total", "vaf_min")])
 
 
 @query("nmf_frobenius")
 def nmf_frobenius(spark, sf):
-    return fits_for(spark, sf, kernels.EXTRACTION)
+    return fits_for(spark, sf, kernels.EXTRACTION, 10)
 
 
 @query("nmf_shifted")
 def nmf_shifted(spark, sf):
-    return fits_for(spark, sf, kernels.SENSITIVITY)
+    return fits_for(spark, sf, kernels.SENSITIVITY, 5)
 
 
 @query("nmf_kl")
 def nmf_kl(spark, sf):
-    return fits_for(spark, sf, kernels.SENSITIVITY_KL)
+    return fits_for(spark, sf, kernels.SENSITIVITY_KL, 5)
 
 
 @query("nmf_ridge")
 def nmf_ridge(spark, sf):
-    return fits_for(spark, sf, kernels.EXTERNAL)
+    return fits_for(spark, sf, kernels.EXTERNAL, 10)
 
 
 @query("nmf_svd_start")
 def nmf_svd_start(spark, sf):
-    return fits_for(spark, sf, kernels.ENVELOPE)
+    return fits_for(spark, sf, kernels.ENVELOPE, 10)
 
 
 @query("nmf_coordinate")
 def nmf_coordinate(spark, sf):
-    return fits_for(spark, sf, kernels.WITHIN)
+    return fits_for(spark, sf, kernels.WITHIN, 20)
 
 
 STEPS = 3
@@ -230,7 +238,7 @@ def emg_chain(spark, sf):
     from ..config import Preprocess
     from ..functions import signal
     from ..plans.preprocess import emg_chain as chain
-    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64).select(
+    rows = whole_vectors(spark, sf).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(1000.0).alias("fs"))
     done = rows.select("vec_id", signal.clip_fraction("v").alias("clip_frac"), chain(Preprocess())("v", "fs").alias("_e"))
     return done.select("vec_id", "clip_frac", r(F.array_max("_e.env")).alias("peak"),
@@ -253,9 +261,8 @@ def variant_inputs(spark, sf):
 def variant_floors(spark, sf):
     b, stable, bounds, null = variant_inputs(spark, sf)
     quick = {v.name: replace(v, rule=replace(v.rule, **SHORT)) for v in sensitivity.VARIANTS}
-    parts = [sensitivity.variant_floors(quick[n], stable, bounds, null, b, n_starts=2)
-             for n in ("stride_half", "matching_euclidean")]
-    return parts[0].unionByName(parts[1])
+    parts = [sensitivity.variant_floors(v, stable, bounds, null, b, n_starts=2) for v in quick.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("breakpoint_crosscheck")
@@ -268,4 +275,4 @@ def breakpoint_crosscheck(spark, sf):
     curve = cut_lineage(pairs.groupBy(*group, F.col("speed_b_mps").alias("q_speed_mps")).agg(
         F.avg("fidelity_a_to_b").alias("fidelity_ref_to_q"), F.max("fidelity_a_to_b").alias("fidelity_q_to_ref")))
     floors = within.groupBy(*group).agg(F.min("speed_mps").alias("floor_speed_mps"))
-    return changepoint.crosscheck(curve, floors, n_grid=400)
+    return changepoint.crosscheck(curve, floors)

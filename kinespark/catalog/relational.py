@@ -180,17 +180,17 @@ def upsert_union(spark, sf):
 
 
 @query("set_intersection", """
-WITH s AS (SELECT c_nationkey, c_mktsegment, count(DISTINCT o_orderpriority) AS np
-           FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000 GROUP BY 1, 2),
-k AS (SELECT c_nationkey, c_mktsegment FROM s WHERE np = 5),
-n AS (SELECT c_nationkey, count(*) AS n_common FROM k GROUP BY 1 HAVING count(*) >= 3)
-SELECT k.c_nationkey, k.c_mktsegment, n_common FROM k JOIN n USING (c_nationkey)
+WITH s AS (SELECT c_mktsegment, c_custkey, count(DISTINCT o_orderpriority) AS np
+           FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+k AS (SELECT c_mktsegment, c_custkey FROM s WHERE np = 5),
+n AS (SELECT c_mktsegment, count(*) AS n_common FROM k GROUP BY 1 HAVING count(*) >= 3)
+SELECT k.c_mktsegment, k.c_custkey, n_common FROM k JOIN n USING (c_mktsegment)
 """)
 def set_intersection(spark, sf):
-    orders = table(spark, sf, "orders").where("o_totalprice > 400000").select(
-        F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
-    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(orders, "c_custkey")
-    return selection.common_items(rows, ["c_nationkey"], "c_mktsegment", "o_orderpriority", 5, min_items=3)
+    """Customers of each segment who have orders of every priority."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(orders, "c_custkey")
+    return selection.common_items(rows, ["c_mktsegment"], "c_custkey", "o_orderpriority", 5, min_items=3)
 
 
 @query("left_equi_dedup", """
@@ -234,20 +234,18 @@ def value_counts(spark, sf):
         r(F.avg("value")).alias("mean"), r(F.max("value")).alias("hi")).orderBy("event_type")
 
 
-@query("pivot_complete_case", """
-WITH w AS (SELECT o_custkey,
-  avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent,
-  avg(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH') AS high,
-  avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS low
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query("pivot_complete_case", f"""
+WITH w AS (SELECT o_custkey, {", ".join(f"avg(o_totalprice) FILTER (WHERE o_orderpriority = '{k}') AS {v}" for k, v in PRIORITIES.items())}
   FROM orders GROUP BY 1)
-SELECT o_custkey, round(urgent, 6) AS urgent, round(high, 6) AS high, round(low, 6) AS low FROM w
-WHERE urgent IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL
+SELECT o_custkey, {", ".join(f"round({v}, 6) AS {v}" for v in PRIORITIES.values())} FROM w
+WHERE {" AND ".join(f"{v} IS NOT NULL" for v in PRIORITIES.values())}
 """)
 def pivot_complete_case(spark, sf):
-    levels = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low"}
-    orders = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(*levels))
-    wide = selection.complete_pivot(orders, ["o_custkey"], "o_orderpriority", list(levels), "o_totalprice")
-    return wide.select("o_custkey", *[r(F.col(f"`{k}`")).alias(v) for k, v in levels.items()])
+    wide = selection.complete_pivot(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority", list(PRIORITIES), "o_totalprice")
+    return wide.select("o_custkey", *[r(F.col(f"`{k}`")).alias(v) for k, v in PRIORITIES.items()])
 
 
 @query("channel_shift", """

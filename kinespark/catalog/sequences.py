@@ -208,15 +208,14 @@ def parity_choice(spark, sf):
 
 @query("toe_off_filter", f"""
 WITH {CONTACTS}, nx AS (SELECT *, lead("start") OVER (PARTITION BY user_id ORDER BY "start") AS b FROM ct),
-k AS (SELECT user_id, b IS NOT NULL AND "end" > "start" AND "end" < b AND "end" - "start" < 86400000000 AS ok FROM nx)
+k AS (SELECT user_id, b IS NOT NULL AND "end" > "start" AND "end" < b AS ok FROM nx)
 SELECT user_id, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS dropped FROM k GROUP BY 1
 """)
 def toe_off_filter(spark, sf):
     from ..operators.segments import next_after
     c = user_contacts(spark, sf)
     w = next_after(c, ["user_id"], ["start"], {"b": F.col("start")}, "day")
-    ok = F.coalesce((F.col("end") > F.col("start")) & (F.col("end") < F.col("b")), F.lit(False)) & (
-        F.col("end") - F.col("start") < DAY)
+    ok = F.coalesce((F.col("end") > F.col("start")) & (F.col("end") < F.col("b")), F.lit(False))
     return w.groupBy("user_id").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
@@ -244,7 +243,7 @@ def single_changepoint(spark, sf):
 WITH p AS (SELECT c_nationkey AS g, c_acctbal / 1000 AS x, log(1 + abs(c_acctbal)) + (c_custkey % 7)::DOUBLE / 7 AS y FROM customer),
 e AS (SELECT g, min(x) + 1e-9 AS lo, max(x) - 1e-9 AS hi, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM p
       GROUP BY g HAVING count(*) >= 3 AND max(x) - min(x) > 1e-9),
-b AS (SELECT e.*, k, lo + k * ((hi - lo) / 98) AS bp FROM e, range(99) AS t(k)),
+b AS (SELECT e.*, k, lo + k * ((hi - lo) / 1999) AS bp FROM e, range(2000) AS t(k)),
 s AS (SELECT b.g, k, bp, n, sum((x - mx) * (x - mx)) AS vxx, sum((x - mx) * (y - my)) AS vxy, sum((y - my) * (y - my)) AS vyy,
              sum(greatest(bp - x, 0)) AS sh, sum(greatest(bp - x, 0) * greatest(bp - x, 0)) AS shh,
              sum(greatest(bp - x, 0) * (x - mx)) AS vxh, sum(greatest(bp - x, 0) * (y - my)) AS vhy
@@ -259,7 +258,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(sse, 6), k) AS
 def hinge_breakpoint(spark, sf):
     y = F.log10(1 + F.abs("c_acctbal")) + (F.col("c_custkey") % 7).cast("double") / 7
     pts = table(spark, sf, "customer").select("c_nationkey", (F.col("c_acctbal") / 1000).alias("x"), y.alias("y"))
-    best = changepoint.hinge_breakpoint(pts, ["c_nationkey"], "x", "y", n_grid=99, ties=6)
+    best = changepoint.hinge_breakpoint(pts, ["c_nationkey"], "x", "y", n_grid=2000, ties=6)
     return best.select("c_nationkey", r("bp", 7).alias("bp"), r("sse", 4).alias("sse"))
 
 

@@ -57,8 +57,9 @@ def speed_key(value: Column | str) -> Column:
 
 
 def speed_tag(value: Column | str) -> Column:
-    v = null_if_nan(value)
-    return F.coalesce(F.lpad(F.bround(v * 100).cast("int").cast("string"), 4, "0"), F.lit("nan"))
+    """Speed in cm/s with four digits or more."""
+    digits = F.bround(null_if_nan(value) * 100).cast("bigint").cast("string")
+    return F.coalesce(F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit("nan"))
 
 
 def trial_tag(value: Column | str) -> Column:

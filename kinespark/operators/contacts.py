@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .segments import last_before, next_after, row_numbers, running_sums
 
-# Contacts of one run that are folded inside a single row.
-FOLD_ROWS = 100_000
+# Contacts of one run that are folded inside a single row; longer runs give the same result by joins.
+FOLD_ROWS = 10_000
 
 
 def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
@@ -62,8 +62,6 @@ def spaced_contacts(df: DataFrame, keys: Sequence[str], min_gap: float | Column,
         seen = cut_lineage(seen)
     fresh = (F.col("_prev").isNull() | (F.col("start") - F.col("_prev") >= gap)).cast("bigint")
     runs = running_sums(seen, keys, ["start"], {"_run": fresh}, chunk).drop("_prev")
-    if chunk is None:
-        return _fold_runs(runs, keys, gap)
     runs = cut_lineage(runs)
     size = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
     sized = runs.join(size, [*keys, "_run"])
@@ -92,8 +90,9 @@ def _follow_runs(runs: DataFrame, keys: Sequence[str], gap: Column) -> DataFrame
     """
     ids = [*keys, "_run"]
     extra = [c for c in runs.columns if c not in [*ids, "start", "end"]]
-    rows = cut_lineage(runs.groupBy(*ids, "start").agg(
-        F.min("end").alias("end"), *[F.first(c).alias(c) for c in extra]))
+    # of equal starts the smallest row counts, as in a fold over sorted rows
+    rows = runs.groupBy(*ids, "start").agg(F.min(F.struct("end", *extra)).alias("_c"))
+    rows = cut_lineage(rows.select(*ids, "start", "_c.*"))
     none = F.lit(None).cast(rows.schema["start"].dataType)
     merged = rows.select(*ids, (F.col("start") + gap).alias("_at"), F.lit(0).alias("_kind"), F.col("start").alias("_src")
                          ).unionByName(rows.select(*ids, F.col("start").alias("_at"), F.lit(1).alias("_kind"), none.alias("_src")))

@@ -3,7 +3,9 @@
 A condition known to fit one task is fitted there, all its data in one row. A
 larger one stays in its blocks: activations belong to a block, the factor update
 needs only sums over blocks, so an iteration is one row-parallel step plus one
-map-side combined aggregate. Both ways run the same update functions.
+map-side combined aggregate. Both ways run the same update functions from the
+same starts (drawn by seed and block) with the same stopping tests and failure
+rows: the size of a condition decides where its fit runs, not what it gives.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ FIT_FIELDS = [
     ("converged", T.BooleanType()), ("sse", T.DoubleType()), ("channel_sse", DOUBLES),
     ("channel_sst", DOUBLES), ("fail_reason", T.StringType())]
 CHECKPOINT_EVERY = 10
+NONFINITE, NO_FINITE_FIT = "nonfinite entries", "no start converged to finite factors"
 
 
 def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
@@ -38,7 +41,7 @@ def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
 
 
 def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool) -> DataFrame:
-    """Fit rows ``(keys, m, n_blocks, points, x, k, seeds)``; a failed fit keeps its row and its reason."""
+    """Fit rows ``(keys, m, n_blocks, points, ids, widths, x, k, seeds)``; a failed fit keeps its row and its reason."""
     ids = [*keys, "m", "k"]
 
     def run(row):
@@ -46,8 +49,8 @@ def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool
         try:
             X = as_columns(row.x, row.m)
             if not np.isfinite(X).all():
-                raise ValueError("nonfinite entries")
-            W, H, sse, iters, done, seed = kernels.best_fit(rule, X, int(row.k), row.seeds)
+                raise ValueError(NONFINITE)
+            W, H, sse, iters, done, seed = kernels.best_fit(rule, X, int(row.k), row.seeds, row.ids, row.widths)
             if normalise:
                 W, H = kernels.unit_sum(W, H, rule.eps)
             rest = np.square(X - W @ H).sum(axis=1)
@@ -73,75 +76,83 @@ def _step(rule: Rule):
         out = []
         for xi, hi, wi, mi, ki, di in zip(x, h, w, m, k, done):
             X, H, W = as_columns(xi, mi), as_matrix(hi, ki), as_matrix(wi, mi)
-            before = kernels.divergence(rule, X, H, W) if rule.name == "kullback" else 0.0
             violation = 0.0
             if not di:
                 H, violation = kernels.update_h(rule, X, H, W)
-            stats = kernels.block_stats(rule, X, H, W, violation)
-            out.append((H.ravel(), np.append(stats, before)))
+            out.append((H.ravel(), kernels.block_stats(rule, X, H, W, violation)))
         return pd.DataFrame(out, columns=["h", "stats"])
 
     return run
 
 
+def _statistics(rule: Rule):
+    """Block statistics of given factors and activations, with the divergence as the last number."""
+    @F.pandas_udf(DOUBLES)
+    def run(x: pd.Series, h: pd.Series, w: pd.Series, m: pd.Series, k: pd.Series) -> pd.Series:
+        out = []
+        for xi, hi, wi, mi, ki in zip(x, h, w, m, k):
+            X, H, W = as_columns(xi, mi), as_matrix(hi, ki), as_matrix(wi, mi)
+            out.append(np.append(kernels.block_stats(rule, X, H, W), kernels.divergence(rule, X, H, W)))
+        return pd.Series(out)
+
+    return run
+
+
 def _advance(rule: Rule):
-    """Factor update and stopping test of one task from its summed statistics."""
+    """Factor update of one task from its summed statistics, and the error that they show."""
+    fields = T.StructType([T.StructField("w", DOUBLES), T.StructField("err", T.DoubleType())])
+
+    @F.pandas_udf(fields)
+    def run(w: pd.Series, stats: pd.Series, done: pd.Series, m: pd.Series) -> pd.DataFrame:
+        out = []
+        for wi, si, di, mi in zip(w, stats, done, m):
+            W, err = as_matrix(wi, mi), None
+            if not di:
+                s = np.asarray(si, dtype=float)
+                W, violation = kernels.update_w(rule, W, s)
+                # a divergence takes another look at the data
+                err = None if rule.name == "kullback" else kernels.measure(rule, W, s, violation)
+            out.append((W.ravel(), err))
+        return pd.DataFrame(out, columns=["w", "err"])
+
+    return run
+
+
+def _settle(rule: Rule, it: int):
+    """History and stopping test of every task after pass ``it``."""
     fields = T.StructType([
-        T.StructField("w", DOUBLES), T.StructField("prev", T.DoubleType()), T.StructField("first", T.DoubleType()),
-        T.StructField("iters", T.IntegerType()), T.StructField("done", T.BooleanType()),
-        T.StructField("converged", T.BooleanType())])
+        T.StructField("prev", T.DoubleType()), T.StructField("first", T.DoubleType()), T.StructField("iters", T.IntegerType()),
+        T.StructField("done", T.BooleanType()), T.StructField("converged", T.BooleanType())])
+    test = it % rule.check_every == 0 or it == rule.max_iter
 
     @F.pandas_udf(fields)
-    def run(w: pd.Series, stats: pd.Series, prev: pd.Series, first: pd.Series, iters: pd.Series,
-            done: pd.Series, converged: pd.Series, m: pd.Series) -> pd.DataFrame:
+    def run(err: pd.Series, prev: pd.Series, first: pd.Series, iters: pd.Series, done: pd.Series,
+            converged: pd.Series) -> pd.DataFrame:
         out = []
-        for wi, si, pi, fi, it, di, ci, mi in zip(w, stats, prev, first, iters, done, converged, m):
-            if di:
-                out.append((wi, pi, fi, it, True, ci))
+        for ei, pi, fi, ii, di, ci in zip(err, prev, first, iters, done, converged):
+            p, f = (None if v is None or v != v else v for v in (pi, fi))
+            if di or not test:
+                out.append((p, f, ii if di else it, bool(di), bool(ci)))
                 continue
-            W, s = as_matrix(wi, mi), np.asarray(si, dtype=float)
-            W, violation = kernels.update_w(rule, W, s[:-1])
-            it = int(it) + 1
-            p = None if pi is None or pi != pi else pi
-            f = None if fi is None or fi != fi else fi
-            # a divergence is known one pass late: it belongs to the factors the pass started from
-            at = it - 1 if rule.name == "kullback" else it
-            stop = False
-            if at > 0 and (at % rule.check_every == 0 or at == rule.max_iter):
-                err = s[-1] if rule.name == "kullback" else kernels.measure(rule, W, s[:-1], violation)
-                f = err if f is None else f
-                stop = kernels.converged(rule, at, err, err if rule.name == "coordinate" else p, f)
-                p = err
-            out.append((W.ravel(), p, f, it, bool(stop or it >= rule.max_iter), bool(stop)))
+            f = ei if f is None else f
+            stop = kernels.converged(rule, it, ei, ei if rule.name == "coordinate" else p, f)
+            out.append((p if stop else ei, f, it, bool(stop or it >= rule.max_iter), bool(stop)))
         return pd.DataFrame(out, columns=[x.name for x in fields.fields])
 
     return run
 
 
 def _start_random(rule: Rule):
-    fields = T.StructType([T.StructField("w", DOUBLES)])
-
     @F.pandas_udf(DOUBLES)
     def factors(m: pd.Series, k: pd.Series, seed: pd.Series, mean: pd.Series) -> pd.Series:
-        out = []
-        for mi, ki, si, mu in zip(m, k, seed, mean):
-            probe = np.full((int(mi), 1), float(mu))
-            out.append(kernels.random_start(rule, probe, int(ki), int(si))[0].ravel())
-        return pd.Series(out)
+        return pd.Series([kernels.start_factors(rule, int(mi), int(ki), int(si), mu).ravel()
+                          for mi, ki, si, mu in zip(m, k, seed, mean)])
 
     @F.pandas_udf(DOUBLES)
     def activations(x: pd.Series, m: pd.Series, k: pd.Series, seed: pd.Series, mean: pd.Series,
                     block: pd.Series) -> pd.Series:
-        out = []
-        for xi, mi, ki, si, mu, bi in zip(x, m, k, seed, mean, block):
-            n = len(xi) // int(mi)
-            rng = np.random.default_rng([int(si), int(bi)])
-            if rule.name == "coordinate":
-                H = np.abs(np.sqrt(mu / ki) * rng.standard_normal((int(ki), n)))
-            else:
-                H = rng.random((int(ki), n)) + (0.01 if rule.name == "ridge" else rule.eps)
-            out.append(H.ravel())
-        return pd.Series(out)
+        return pd.Series([kernels.start_block(rule, len(xi) // int(mi), int(ki), int(si), int(bi), mu).ravel()
+                          for xi, mi, ki, si, mu, bi in zip(x, m, k, seed, mean, block)])
 
     return factors, activations
 
@@ -216,36 +227,65 @@ def iterate_large(factors: DataFrame, state: DataFrame, ids: Sequence[str], rule
 
     The state is kept in memory with disk spill and written to the shared
     checkpoint folder every few passes, so a lost executor replays a few passes
-    at most. The driver sees one number per pass: how many tasks still run.
+    at most. The driver sees one number per pass that tests: how many tasks still run.
     """
     spark = state.sparkSession
     ensure_checkpoint_dir(spark)
     ids = list(ids)
-    step, advance = _step(rule), _advance(rule)
-    null = F.lit(None).cast("double")
+    step, advance, look = _step(rule), _advance(rule), _statistics(rule)
+
+    def looked(state: DataFrame, factors: DataFrame) -> DataFrame:
+        rows = state.join(factors.select(*ids, "w"), ids).withColumn("_l", look("x", "h", "w", "m", "k"))
+        return vector_sum(rows, ids, "_l", "_l")
+
+    # blocks of one task spread over all partitions
+    state = cut_lineage(state.repartition(*[F.col(c) for c in [*ids, "block_id"]]))
+    factors = factors.select(*ids, "m", "w")
+    err = F.lit(None).cast("double")
+    if rule.name == "svd_start":
+        factors = factors.join(looked(state, factors), ids)
+        err = _start_error(rule)("w", "_l", "m")
     factors = cut_lineage(factors.select(
-        *ids, "m", "w", null.alias("prev"), null.alias("first"), F.lit(0).alias("iters"),
+        *ids, "m", "w", err.alias("prev"), err.alias("first"), F.lit(0).alias("iters"),
         F.lit(False).alias("done"), F.lit(False).alias("converged")))
-    # blocks of one task spread over all partitions; the join below keeps this layout
-    state = cut_lineage(state.repartition(*[F.col(c) for c in [*ids, "block_id"]]))
-    for it in range(1, rule.max_iter + 2):
+    held = None
+    for it in range(1, rule.max_iter + 1):
+        test = it % rule.check_every == 0 or it == rule.max_iter
         joined = state.join(factors.select(*ids, "w", "done"), ids)
         stepped = joined.select(*ids, "block_id", "m", "x",
                                 step("x", "h", "w", "m", "k", "done").alias("_s"))
         following = stepped.select(*ids, "block_id", "m", "x", F.col("_s.h").alias("h"),
                                    F.col("_s.stats").alias("_stats"))
-        following = (cut_lineage(following) if it % CHECKPOINT_EVERY == 0 else following.persist())
+        kept = None if it % CHECKPOINT_EVERY == 0 else following.persist()
+        following = cut_lineage(following) if kept is None else kept
         sums = vector_sum(following, ids, "_stats", "_stats")
-        moved = factors.join(sums, ids).withColumn("_a", advance(
-            "w", "_stats", "prev", "first", "iters", "done", "converged", "m"))
-        updated = cut_lineage(moved.select(*ids, "m", "_a.*"))
-        state.unpersist()
-        factors, state = updated, following.drop("_stats")
-        if not has_rows(factors.where(~F.col("done"))):
+        moved = factors.join(sums, ids).withColumn("_a", advance("w", "_stats", "done", "m"))
+        moved = cut_lineage(moved.select(*ids, "m", "_a.*", "prev", "first", "iters", "done", "converged"))
+        state = following.drop("_stats")
+        if test and rule.name == "kullback":
+            moved = moved.drop("err").join(looked(state, moved).select(*ids, F.element_at("_l", -1).alias("err")), ids)
+        settled = moved.withColumn("_t", _settle(rule, it)("err", "prev", "first", "iters", "done", "converged"))
+        factors = cut_lineage(settled.select(*ids, "m", "w", "_t.*"))
+        # the data frame that was persisted is the one to release; this pass no longer needs the last one
+        if held is not None:
+            held.unpersist()
+        held = kept
+        if test and not has_rows(factors.where(~F.col("done"))):
             break
+    if held is not None:
+        state = cut_lineage(state)
+        held.unpersist()
     return factors, state
 
 
+def _start_error(rule: Rule):
+    @F.pandas_udf(T.DoubleType())
+    def run(w: pd.Series, stats: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([kernels.measure(rule, as_matrix(wi, mi), np.asarray(si, dtype=float)[:-1], 0.0)
+                          for wi, si, mi in zip(w, stats, m)], dtype=float)
+    return run
+
+
 @F.pandas_udf(DOUBLES)
 def _channel_errors(x: pd.Series, h: pd.Series, w: pd.Series, m: pd.Series, k: pd.Series,
                     points: pd.Series) -> pd.Series:
@@ -260,8 +300,16 @@ def _channel_errors(x: pd.Series, h: pd.Series, w: pd.Series, m: pd.Series, k: p
 
 def fit_large(blocks: DataFrame, tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool,
               n_starts: int) -> DataFrame:
-    """Distributed fits; ``tasks`` is (keys, k, seeds). Starts run one after another, the best is kept."""
+    """Distributed fits; ``tasks`` is (keys, k, seeds). Starts run one after another, the best is kept.
+
+    A condition with entries that are not finite, or without a finite fit, keeps a row with the reason.
+    """
     ids = [*keys, "k", "seed"]
+    odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    sound = cut_lineage(blocks.groupBy(*keys).agg(F.max(odd).alias("_odd"), F.first("m").alias("m")))
+    everything = tasks.select(*keys, "k").join(sound, list(keys))
+    good = sound.where(~F.col("_odd")).select(*keys)
+    blocks, tasks = blocks.join(good, list(keys), "left_semi"), tasks.join(good, list(keys), "left_semi")
     lengths = shapes(blocks, keys).select(*keys, "points")
     outs = []
     for j in range(1 if rule.name == "svd_start" else n_starts):
@@ -278,10 +326,14 @@ def fit_large(blocks: DataFrame, tasks: DataFrame, keys: Sequence[str], rule: Ru
             F.slice("_e", F.lit(1), m).alias("channel_sse"), F.slice("_e", m + 1, m).alias("channel_sst"),
             F.lit(None).cast("string").alias("fail_reason"), F.lit(j).alias("_start"))
         outs.append(cut_lineage(cut))
-    best = top_row(reduce(DataFrame.unionByName, outs), [*keys, "k"],
-                   [F.col("sse"), F.col("_start")], lowest=True).drop("_start")
+    finite = reduce(DataFrame.unionByName, outs).where(~F.isnan("sse") & (F.col("sse") < float("inf")))
+    best = top_row(finite, [*keys, "k"], [F.col("sse"), F.col("_start")], lowest=True).drop("_start")
     out = best.select(*keys, "m", "k", *[n for n, _ in FIT_FIELDS])
-    return scale_factors(out, rule.eps) if normalise else out
+    out = scale_factors(out, rule.eps) if normalise else out
+    reason = F.concat(F.lit("ValueError: "), F.when(F.col("_odd"), F.lit(NONFINITE)).otherwise(F.lit(NO_FINITE_FIT)))
+    failed = everything.join(best.select(*keys, "k"), [*keys, "k"], "left_anti").select(
+        *keys, "m", "k", *[(reason if n == "fail_reason" else F.lit(None).cast(t)).alias(n) for n, t in FIT_FIELDS])
+    return out.unionByName(failed)
 
 
 def scale_factors(fits: DataFrame, eps: float) -> DataFrame:

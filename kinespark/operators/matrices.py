@@ -139,6 +139,8 @@ def gather(blocks: DataFrame, keys: Sequence[str], limit: int = TASK_CELLS) -> t
                   F.array_sort(F.collect_list(item)).alias("_b"))
              .select(*keys, "m", F.size("_b").alias("n_blocks"),
                      F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).cast("int").alias("points"),
+                     F.transform("_b", lambda s: s["block_id"].cast("bigint")).alias("ids"),
+                     F.transform("_b", lambda s: (F.size(s["x"]) / F.col("m")).cast("int")).alias("widths"),
                      F.flatten(F.transform("_b", lambda s: s["x"])).alias("x")))
     large = tagged.where(F.col("_cells") > limit).drop("_cells")
     return small, large

@@ -1,19 +1,22 @@
 """Replicated fits on resampled strides.
 
 ``replicate_fits`` answers, for every condition and replicate: draw strides, fit
-each side, and measure how well each side's factors reconstruct the other. A
-condition that fits one task draws inside its task (a few replicates per task,
-so its data is sent once per chunk of replicates). A larger one is resampled by
-a join of its blocks with a table of drawn positions and fitted block-wise.
+each side, and measure how well each side's factors reconstruct the other. The
+draws are one table, built in parallel from hashes of (seed, replicate, side,
+position), whatever the size of a condition. One that fits a task gets its
+share of the table as arrays (a few replicates per task, so its data is sent once
+per chunk of replicates); a larger one is joined with it and fitted block-wise.
+Blocks are numbered from 0.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.kernels import Rule
 from ..session import cut_lineage
-from .factorise import DOUBLES, fit_large
+from .factorise import DOUBLES, NONFINITE, fit_large
 from .matrices import (TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity,
                        strides)
 from .segments import row_numbers
@@ -45,21 +48,6 @@ BLOCKED_HALF = Scheme("blocked_half")
 DISJOINT = Scheme("disjoint")
 
 
-def draws(scheme: Scheme, n: int, block: int, seed: int, upto: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Index arrays per side for replicates 0, 1, ...; one generator runs through all replicates."""
-    half = n // 2
-    rng = np.random.RandomState(seed) if scheme == BLOCKED_HALF else np.random.default_rng(seed)
-    for r in range(upto):
-        if scheme == MOVING:
-            yield (kernels.moving_blocks(rng, n, block),)
-        elif scheme == CIRCULAR:
-            yield tuple(kernels.circular_blocks(rng, n, block, half) for _ in range(2))
-        elif scheme == BLOCKED_HALF:
-            yield tuple(kernels.blocked_half(rng, n, block, half))
-        else:
-            yield kernels.disjoint_halves(n, r)
-
-
 def text_seed(text: str) -> int:
     return zlib.crc32(text.encode("utf-8"))
 
@@ -71,15 +59,19 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
     def run(row):
         head = tuple(getattr(row, n) for n in ids)
         X3 = strides(as_columns(row.x, row.m), row.n_blocks)
-        plan = draws(scheme, X3.shape[1], int(row.block), int(row.draw_seed), int(row.hi))
-        for r, sides in enumerate(plan):
-            if r < row.lo:
-                continue
+        drawn: dict[int, dict[int, np.ndarray]] = {}
+        for d in row.plan:
+            drawn.setdefault(int(d["replicate"]), {})[int(d["side"])] = np.asarray(d["at"], int)
+        for r in sorted(drawn):
+            sides = [drawn[r][side] for side in sorted(drawn[r])]
             try:
+                if not np.isfinite(X3).all():
+                    raise ValueError(NONFINITE)
                 parts = [X3[:, idx].reshape(X3.shape[0], -1) for idx in sides]
                 out = []
                 for side, X in enumerate(parts):
-                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side))
+                    at = range(len(sides[side]))
+                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side), at, [X3.shape[2]] * len(at))
                     if normalise:
                         W, H = kernels.unit_sum(W, H, rule.eps)
                     out += [W.ravel(), H.reshape(H.shape[0], len(sides[side]), -1).mean(axis=1).ravel()]
@@ -139,32 +131,46 @@ def drawn_positions(conditions: DataFrame, keys: Sequence[str], scheme: Scheme,
         F.pmod(F.col("_start") + F.col("_o"), n).cast("bigint").alias("block_id"))
 
 
-def _large(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
+def _seeds(fit_seeds: Callable):
+    """The start seeds of a replicate and side, from the row of its condition."""
+    @F.pandas_udf("array<bigint>")
+    def run(row: pd.DataFrame, replicate: pd.Series, side: pd.Series) -> pd.Series:
+        return pd.Series([[int(s) for s in fit_seeds(c, int(r), int(d))]
+                          for c, r, d in zip(row.itertuples(index=False), replicate, side)])
+    return run
+
+
+def _large(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule, fit_seeds: Callable,
            lo: int, hi: int, n_starts: int, normalise: bool) -> DataFrame:
     run_keys = [*keys, "replicate", "side"]
     at = drawn_positions(conditions, keys, scheme, lo, hi)
     sampled = cut_lineage(blocks.join(at, [*keys, "block_id"]).select(
         *run_keys, F.col("position").alias("block_id"), "m", "x"))
-    wanted = sampled.select(*run_keys).distinct().join(conditions.select(*keys, "k"), list(keys))
-    seeds = F.array(*[F.pmod(F.xxhash64(*[F.col(c) for c in run_keys], F.col("k"), F.lit(j)), F.lit(1 << 31))
-                      for j in range(n_starts)])
-    fits = cut_lineage(fit_large(sampled, wanted.withColumn("seeds", seeds), run_keys, rule, normalise, n_starts))
+    wanted = sampled.select(*run_keys).distinct().join(
+        conditions.select(*keys, "k", F.struct(*conditions.columns).alias("_row")), list(keys))
+    wanted = cut_lineage(wanted.withColumn("seeds", _seeds(fit_seeds)("_row", "replicate", "side")).drop("_row"))
+    fits = cut_lineage(fit_large(sampled, wanted, run_keys, rule, normalise, n_starts))
     side = {s: fits.where(F.col("side") == i).select(
         *keys, "replicate", "m", "k", F.col("w").alias(f"w_{s}"), F.col("wave").alias(f"wave_{s}"))
         for i, s in enumerate("ab")}
-    none = [F.lit(None).cast(t).alias(n) for n, t in REPLICATE_FIELDS if n in ("fid_ab", "fid_ba", "fail_reason")]
+    # one reason for both sides: a failed side fails its replicate
+    why = fits.groupBy(*keys, "replicate").agg(F.min_by("fail_reason", F.when(F.col("fail_reason").isNotNull(), F.col("side"))).alias("fail_reason"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in REPLICATE_FIELDS if n in ("fid_ab", "fid_ba")]
     if not scheme.two_sides:
         empty = [F.lit(None).cast(DOUBLES).alias(n) for n in ("w_b", "wave_b")]
-        return side["a"].select(*keys, "m", "k", "replicate", "w_a", "wave_a", *empty, *none)
+        return side["a"].join(why, [*keys, "replicate"]).select(
+            *keys, "m", "k", "replicate", "w_a", "wave_a", *empty, *none, "fail_reason")
     # each side's factors are projected on the other side's strides
-    other = fits.select(*keys, "replicate", (1 - F.col("side")).alias("side"), "w")
+    other = fits.where("fail_reason IS NULL").select(*keys, "replicate", (1 - F.col("side")).alias("side"), "w")
     errors = block_errors(sampled.join(other, run_keys)).groupBy(*keys, "replicate").agg(
         *[F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("sse", "sst")])
-    both = side["a"].join(side["b"].drop("m", "k"), [*keys, "replicate"]).join(errors, [*keys, "replicate"])
+    both = side["a"].join(side["b"].drop("m", "k"), [*keys, "replicate"]).join(errors, [*keys, "replicate"], "left")
+    both = both.join(why, [*keys, "replicate"])
+    ok = F.col("fail_reason").isNull()
     return both.select(
-        *keys, "m", "k", "replicate", "w_a", "wave_a", "w_b", "wave_b",
-        ratio_to_fidelity(F.col("sse1"), F.col("sst1")).alias("fid_ab"),
-        ratio_to_fidelity(F.col("sse0"), F.col("sst0")).alias("fid_ba"), none[-1])
+        *keys, "m", "k", "replicate", *[F.when(ok, F.col(c)).alias(c) for c in ("w_a", "wave_a", "w_b", "wave_b")],
+        F.when(ok, ratio_to_fidelity(F.col("sse1"), F.col("sst1"))).alias("fid_ab"),
+        F.when(ok, ratio_to_fidelity(F.col("sse0"), F.col("sst0"))).alias("fid_ba"), "fail_reason")
 
 
 def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
@@ -177,11 +183,15 @@ def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str]
     """
     conditions = cut_lineage(conditions)  # one short row per condition
     small, large = gather(blocks, keys, limit)
-    chunk = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(per_task)))
-    tasks = small.join(conditions, list(keys)).withColumn("lo", chunk).withColumn(
-        "hi", F.least(F.col("lo") + per_task, F.lit(hi)))
+    at = drawn_positions(conditions.join(small.select(*keys), list(keys), "left_semi"), keys, scheme, lo, hi)
+    sides = at.groupBy(*keys, "replicate", "side").agg(
+        F.array_sort(F.collect_list(F.struct("position", "block_id"))).alias("_p"))
+    first = F.lit(lo) + F.floor((F.col("replicate") - lo) / per_task).cast("int") * per_task
+    plans = sides.withColumn("lo", first).groupBy(*keys, "lo").agg(F.collect_list(
+        F.struct("replicate", "side", F.transform("_p", lambda s: s["block_id"]).alias("at"))).alias("plan"))
+    tasks = small.join(conditions, list(keys)).join(plans, list(keys))
     out = _small(tasks, keys, scheme, rule, fit_seeds, normalise)
     if has_rows(large):
         todo = conditions.join(large.select(*keys).distinct(), list(keys), "left_semi")
-        out = out.unionByName(_large(large, todo, keys, scheme, rule, lo, hi, n_starts, normalise))
+        out = out.unionByName(_large(large, todo, keys, scheme, rule, fit_seeds, lo, hi, n_starts, normalise))
     return out

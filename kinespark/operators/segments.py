@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, Window.currentRow)
-AFTER = (1, Window.unboundedFollowing)
 
 Named = dict[str, Column]
 
@@ -25,6 +24,11 @@ def _window(keys: Sequence[str], order: Sequence[str], rows: tuple[int, int]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
 
 
+def _reversed(keys: Sequence[str], order: Sequence[str]):
+    """What lies after a row, seen backwards: a frame that grows is evaluated once, one that shrinks anew for each row."""
+    return Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*BEFORE)
+
+
 def _scan_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named, before: Named,
                   after: Named, chunk: str) -> DataFrame:
     place = F.struct(*order)
@@ -37,13 +41,13 @@ def _scan_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
         *[edge(F.max_by, e).alias(f"_b_{n}") for n, e in before.items()],
         *[edge(F.min_by, e).alias(f"_a_{n}") for n, e in after.items()])
-    past, future = _window(keys, [chunk], BEFORE), _window(keys, [chunk], AFTER)
+    past, future = _window(keys, [chunk], BEFORE), _reversed(keys, [chunk])
     carry = parts.select(
         *keys, chunk, *[F.sum(f"_s_{n}").over(past).alias(f"_s_{n}") for n in sums],
         *[F.last(f"_b_{n}", True).over(past).alias(f"_b_{n}") for n in before],
-        *[F.first(f"_a_{n}", True).over(future).alias(f"_a_{n}") for n in after])
+        *[F.last(f"_a_{n}", True).over(future).alias(f"_a_{n}") for n in after])
     inside = [*keys, chunk]
-    upto, local_past, local_future = (_window(inside, order, r) for r in (UPTO, BEFORE, AFTER))
+    upto, local_past, local_future = _window(inside, order, UPTO), _window(inside, order, BEFORE), _reversed(inside, order)
 
     def total(n: str, e: Column) -> Column:
         here, earlier = F.sum(e).over(upto), F.col(f"_s_{n}")
@@ -52,7 +56,7 @@ def _scan_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums
     return df.join(carry, inside, "left").select(
         *df.columns, *[total(n, e) for n, e in sums.items()],
         *[F.coalesce(F.last(e, True).over(local_past), F.col(f"_b_{n}")).alias(n) for n, e in before.items()],
-        *[F.coalesce(F.first(e, True).over(local_future), F.col(f"_a_{n}")).alias(n) for n, e in after.items()])
+        *[F.coalesce(F.last(e, True).over(local_future), F.col(f"_a_{n}")).alias(n) for n, e in after.items()])
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named | None = None,
@@ -65,10 +69,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     sums, before, after = sums or {}, before or {}, after or {}
     if chunk is not None:
         return _scan_chunked(df, keys, order, sums, before, after, chunk)
-    upto, past, future = (_window(keys, order, r) for r in (UPTO, BEFORE, AFTER))
+    upto, past, future = _window(keys, order, UPTO), _window(keys, order, BEFORE), _reversed(keys, order)
     return df.select("*", *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
                      *[F.last(e, True).over(past).alias(n) for n, e in before.items()],
-                     *[F.first(e, True).over(future).alias(n) for n, e in after.items()])
+                     *[F.last(e, True).over(future).alias(n) for n, e in after.items()])
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Named,

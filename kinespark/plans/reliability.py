@@ -25,8 +25,6 @@ WITHIN_BOOT, WITHIN_STARTS, WITHIN_SEED = 100, 20, 20260103
 # Envelope targets, coverage, reference speed key and seeds.
 ENVELOPE_BOOT, ENVELOPE_CI, COVERAGE, ENVELOPE_SEED, MAX_ATTEMPT_FACTOR = 2000, 2000, 0.90, 42, 20
 REFERENCE_KEY = 500
-# Longest stride series handled as one row.
-SERIES_ROWS = 1_000_000
 # External validation rank, replicates, starts, minimum strides, successes and seeds.
 EXTERNAL_K, EXTERNAL_BOOT, EXTERNAL_STARTS, MIN_STRIDES, MIN_SUCCESS = 5, 50, 10, 20, 10
 EXTERNAL_SEED, EXTERNAL_SEED_STEP, EXTERNAL_RESAMPLES, Z95 = 20260103, 1000, 200, 1.645
@@ -38,9 +36,9 @@ def _conditions(stable: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def numbered_subjects(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Position of each row in subject order; a name prefix never decreases along that order, so it cuts the scan."""
-    cut = rows.withColumn("_prefix", F.substring("subject", 1, 6))
-    return row_numbers(cut, [], order, "_rn", chunk="_prefix").drop("_prefix")
+    """Position of each row in subject order. The scan is cut where the sort ranges lie, whatever the names look like."""
+    ranges = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return row_numbers(ranges, [], order, "_rn", chunk="_range").drop("_range")
 
 
 def within_speed(stable: DataFrame, blocks: DataFrame, n_boot: int = WITHIN_BOOT, n_starts: int = WITHIN_STARTS,
@@ -80,43 +78,33 @@ def _bound(q: float, side: str, draws: int):
     return run
 
 
-def envelope_blocks(blocks: DataFrame, limit: int = SERIES_ROWS) -> DataFrame:
+def envelope_blocks(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
     """Stride block length per condition from the autocovariance of the first channel's stride means.
 
-    Short series are summed by lag in one row; a longer one is joined with its
-    own lagged copy, lag by lag, so that only one row per lag is ever gathered.
+    The series is numbered without gaps and joined with its own lagged copies, so that one row per lag is gathered,
+    however long it is.
     """
     @F.pandas_udf(T.DoubleType())
     def first_mean(x: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([as_columns(xi, mi)[0].mean() for xi, mi in zip(x, m)])
 
-    @F.pandas_udf(T.IntegerType())
-    def from_series(means: pd.Series) -> pd.Series:
-        return pd.Series([kernels.envelope_block_length(kernels.lag_sums(v), len(v)) for v in means], dtype="int32")
-
     @F.pandas_udf(T.IntegerType())
     def from_lags(sums: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([kernels.envelope_block_length(np.stack(v), int(k)) for v, k in zip(sums, n)], dtype="int32")
 
-    means = blocks.select(*KEY, "block_id", first_mean("x", "m").alias("v"))
-    means = cut_lineage(means)  # one number per stride
+    means = cut_lineage(blocks.select(*KEY, "block_id", first_mean("x", "m").alias("v")))  # one number per stride
     sizes = means.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("v").alias("_mean"))
-    sized = means.join(sizes, KEY)
-    series = sized.where(F.col("n") <= limit).groupBy(*KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("block_id", "v"))), lambda s: s["v"]).alias("_v"))
-    out = series.select(*KEY, from_series("_v").alias("block"))
-    long = sized.where(F.col("n") > limit).select(*KEY, "n", "block_id", (F.col("v") - F.col("_mean")).alias("e"))
-    if not has_rows(long):
-        return out
+    sized = means.join(sizes, KEY).withColumn("_chunk", F.floor(F.col("block_id") / chunk))
+    placed = row_numbers(sized, KEY, ["block_id"], "at", chunk="_chunk").select(*KEY, "n", "at", (F.col("v") - F.col("_mean")).alias("e"))
     run = F.greatest(F.lit(5), F.floor(F.log10("n")).cast("int"))
     top = F.ceil(F.sqrt("n")).cast("int") + run
-    earlier = long.select(*KEY, "block_id", F.col("e").alias("b"), F.explode(F.sequence(F.lit(0), top)).alias("lag")).withColumn(
-        "block_id", F.col("block_id") + F.col("lag"))
-    lags = long.join(earlier, [*KEY, "block_id"]).groupBy(*KEY, "n", "lag").agg(
+    earlier = placed.select(*KEY, "at", F.col("e").alias("b"), F.explode(F.sequence(F.lit(0), top)).alias("lag")).withColumn(
+        "at", F.col("at") + F.col("lag"))
+    lags = placed.join(earlier, [*KEY, "at"]).groupBy(*KEY, "n", "lag").agg(
         F.array(F.sum(F.col("e") * F.col("b")), F.sum(F.col("e") * F.col("e")), F.sum(F.col("b") * F.col("b"))).alias("s"))
     table = lags.groupBy(*KEY, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("lag", "s"))), lambda s: s["s"]).alias("_s"))
-    return out.unionByName(table.select(*KEY, from_lags("_s", "n").alias("block")))
+    return table.select(*KEY, from_lags("_s", "n").alias("block"))
 
 
 def envelope(stable: DataFrame, blocks: DataFrame, n_boot: int = ENVELOPE_BOOT, n_ci: int = ENVELOPE_CI,

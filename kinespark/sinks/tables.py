@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +45,19 @@ def write_archives(df: DataFrame, folder: str, name: str, arrays: dict[str, str]
     """Export array columns as compressed NumPy archives, one file per row.
 
     ``arrays`` maps archive keys to array columns holding matrices with ``rows``
-    rows; ``folder`` is a path every executor can write. Returns the file list.
+    rows; ``folder`` is a URI (or absolute path) on a file system that all executors share. Returns the file list.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = fs.FileSystem.from_uri(folder)
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
                 buffer = io.BytesIO()
                 np.savez_compressed(buffer, **{
                     k: np.asarray(row[c], dtype=float).reshape(int(row[rows]), -1) for k, c in arrays.items()})
-                path = f"{folder}/{row[name]}.npz"
-                with open(path, "wb") as f:
+                with files.open_output_stream(f"{base}/{row[name]}.npz") as f:
                     f.write(buffer.getvalue())
-                out.append((path, len(buffer.getvalue())))
+                out.append((f"{folder}/{row[name]}.npz", len(buffer.getvalue())))
             yield pd.DataFrame(out, columns=["file", "size_bytes"])
     return df.select(name, rows, *arrays.values()).mapInPandas(run, "file STRING, size_bytes BIGINT")
 
@@ -75,11 +76,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
-def summary_text(title: str, counts: dict[str, object], tables: dict[str, DataFrame], limit: int = 50) -> str:
-    """Readable report from scalar facts and small aggregated tables."""
+def summary_text(title: str, counts: dict[str, object], tables: dict[str, DataFrame]) -> str:
+    """Readable report from scalar facts and small aggregated tables, which are listed whole."""
     lines = [title, "=" * len(title), *[f"{k}: {v}" for k, v in counts.items()]]
     for name, df in tables.items():
         lines += ["", name, "-" * len(name), " | ".join(df.columns)]
         lines += [" | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row)
-                  for row in df.limit(limit).collect()]
+                  for row in df.toLocalIterator()]
     return "\n".join(lines) + "\n"

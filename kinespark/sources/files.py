@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST
 from .tables import read_csv
 
-# Largest file hashed as one row; the binary source holds a file's bytes in memory.
-MAX_HASHED_BYTES = 1 << 30
+# Larger files are not read as one value but by pieces of READ_BYTES; the hash is the same.
+MAX_HELD_BYTES = 64 << 20
+READ_BYTES = 1 << 20
+
+
+def _hash_by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = []
+        for path in batch.column(1).to_pylist():
+            files, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(name) as source:
+                while piece := source.read(READ_BYTES):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), batch.column(2)],
+                                         names=["file", "sha256", "size_bytes"])
 
 
 def list_files(spark: SparkSession, root: str, exclude_dirs: Iterable[str] = (),
-               skip_files: Iterable[str] = (), max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+               skip_files: Iterable[str] = (), held_bytes: int = MAX_HELD_BYTES) -> DataFrame:
     """Files under ``root`` as (file, sha256, size_bytes), paths relative and with forward slashes.
 
-    The size test is pushed into the listing, so a file too large to hold is
-    never read; it fails the query instead of being left out.
+    The size test is pushed into the listing, so a file larger than ``held_bytes`` is never held as a whole: its task
+    reads it from the shared file system piece by piece.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = F.lit(root.rstrip("/") + "/")
@@ -33,11 +51,10 @@ def list_files(spark: SparkSession, root: str, exclude_dirs: Iterable[str] = (),
     if skip_files:
         keep = keep & ~F.element_at(parts, -1).isin(*skip_files)
     rows = named.where(keep)
-    small = rows.where(F.col("length") <= max_bytes).select(
+    small = rows.where(F.col("length") <= held_bytes).select(
         "file", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-    too_large = F.raise_error(F.concat(F.lit("file too large to hash: "), F.col("file"))).cast("string")
-    large = rows.where(F.col("length") > max_bytes).select("file", too_large.alias("sha256"),
-                                                           F.col("length").alias("size_bytes"))
+    large = rows.where(F.col("length") > held_bytes).select("file", "path", "length").mapInArrow(
+        _hash_by_pieces, "file string, sha256 string, size_bytes long")
     return small.unionByName(large)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.joins import remaining
 from ..sinks.tables import append_rows, upsert_partitions
@@ -19,21 +20,26 @@ def run_new_inputs(spark: SparkSession, source: str, schema: str, plan: Callable
                    checkpoint: str, keys: Sequence[str] = (), files_per_batch: int = 1000) -> int:
     """Process the Parquet files that arrived since the last run. Returns the number of batches.
 
-    With ``keys`` a batch replaces the partitions it has results for, which makes
-    a replayed batch harmless; without, results are appended.
+    With ``keys`` (columns of the input) the keys of a batch are computed again from all their input, whichever batches
+    its files came in, and their partitions replaced; a replayed batch is harmless. Without, results are appended.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        out = plan(batch)
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
         if keys:
-            upsert_partitions(out, target, keys)
+            same = [F.col(f"_in.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in keys]
+            touched = batch.select(*keys).distinct().alias("_new")
+            everything = spark.read.schema(schema).parquet(source).alias("_in")
+            upsert_partitions(plan(everything.join(touched, same, "left_semi")), target, keys)
         else:
-            append_rows(out, target)
+            append_rows(plan(batch), target)
+        done.append(number)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
               .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
               .trigger(availableNow=True).start())
     stream.awaitTermination()
-    return sum(1 for p in stream.recentProgress if p["numInputRows"])
+    return len(done)
 
 
 def unfinished(todo: DataFrame, spark: SparkSession, target: str, keys: Sequence[str], exists: bool) -> DataFrame:
