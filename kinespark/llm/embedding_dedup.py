@@ -77,46 +77,48 @@ def _describe(pivots: np.ndarray):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(shared: int):
     """(cid, n, root): links of a class found in a block, and the class that stands for its component there."""
-    for part in sorted_groups(batches, ["key", "i", "j"]):
-        key, i, j, cid, w, at = (part[c].to_numpy() for c in ("key", "i", "j", "cid", "w", "at"))
-        unit, mask = np.array(binaries(part["unit"], np.float64)), np.array(binaries(part["mask"], np.uint64))
-        cuts, out = starts_of(key, i, j), []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            left = lo + np.flatnonzero(at[lo:hi] == i[lo])
-            right = lo + np.flatnonzero(at[lo:hi] == j[lo])
-            close = unit[left] @ unit[right].T >= THRESHOLD
-            if i[lo] == j[lo]:
-                close = np.triu(close, 1)
-            a, b = np.nonzero(close)
-            if not len(a):
-                continue
-            a, b = left[a], right[b]
-            own = _smallest_common(int(key[lo]), mask[a], mask[b])
-            n = np.bincount(a[own] - lo, w[b[own]], hi - lo) + np.bincount(b[own] - lo, w[a[own]], hi - lo)
-            root = np.arange(hi - lo)
-            while True:
-                low = root.copy()
-                np.minimum.at(low, a - lo, root[b - lo])
-                np.minimum.at(low, b - lo, root[a - lo])
-                if (low == root).all():
-                    break
-                root = low
-            some = np.unique(np.concatenate([a, b])) - lo
-            out.append((cid[lo + some], n[some].astype(np.int64), cid[lo + root[some]]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
-                                             names=["cid", "n", "root"])
-
-
-def _smallest_common(key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, ["key", "i", "j"]):
+            key, i, j, cid, w, at = (part[c].to_numpy() for c in ("key", "i", "j", "cid", "w", "at"))
+            unit, mask = np.array(binaries(part["unit"], np.float64)), np.array(binaries(part["mask"], np.uint64))
+            cuts, out = starts_of(key, i, j), []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                left = lo + np.flatnonzero(at[lo:hi] == i[lo])
+                right = lo + np.flatnonzero(at[lo:hi] == j[lo])
+                close = unit[left] @ unit[right].T >= THRESHOLD
+                if i[lo] == j[lo]:
+                    close = np.triu(close, 1)
+                a, b = np.nonzero(close)
+                if not len(a):
+                    continue
+                a, b = left[a], right[b]
+                own = _smallest_common(int(key[lo]), mask[a], mask[b], shared)
+                n = np.bincount(a[own] - lo, w[b[own]], hi - lo) + np.bincount(b[own] - lo, w[a[own]], hi - lo)
+                root = np.arange(hi - lo)
+                while True:
+                    low = root.copy()
+                    np.minimum.at(low, a - lo, root[b - lo])
+                    np.minimum.at(low, b - lo, root[a - lo])
+                    if (low == root).all():
+                        break
+                    root = low
+                some = np.unique(np.concatenate([a, b])) - lo
+                out.append((cid[lo + some], n[some].astype(np.int64), cid[lo + root[some]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
+                                                 names=["cid", "n", "root"])
+    return run
+
+
+def _smallest_common(key: int, a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
     """Whether the pivots of ``key`` are the smallest that both vectors share."""
     last = key & ((1 << 20) - 1)
     below = np.array([min(max(last + 1 - 64 * k, 0), 64) for k in range(a.shape[1])])
     window = np.array([(1 << int(n)) - 1 for n in below], np.uint64)
     common = np.bitwise_count(a & b & window).sum(axis=1)
-    return common == min(SHARED, NEAREST)
+    return common == shared
 
 
 def near_vectors(rows: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     met = dealt.join(described.drop("keys"), "cid")
     shuffle = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(met.repartition(shuffle, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _compare, "cid long, n long, root long"))
+        _compare(min(SHARED, NEAREST, len(pivots))), "cid long, n long, root long"))
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "rep", "w").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
