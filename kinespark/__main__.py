@@ -19,9 +19,13 @@ from .plans import (changepoint, extraction, fidelity, floors, manifests, prepro
 from .operators.matrices import pack_profiles
 from .session import build_session, cut_lineage
 from .sinks import tables as sinks
+from .functions.keys import speed_key
+from .sources import npz
 from .sources.files import read_manifest
+from .sources.tables import read_csv
 
 FAILED, UNUSABLE = 1, 2
+REGISTRY = "dataset string, subject string, trial double, speed_mps double, file_matched_resolved string, file_matched string"
 
 
 class Run:
@@ -90,7 +94,13 @@ def run_stability(run: Run) -> int:
     summary = run.read("nmf_summary")
     out = cut_lineage(extraction.stability(run.blocks(), run.read("chosen_k"), summary))
     run.write(out, "stability_summary")
-    run.write(extraction.module_weights(out, summary), "final_synergies")
+    weights = cut_lineage(extraction.module_weights(out, summary))
+    run.write(weights, "final_synergies")
+    names = run.args.muscles.split(";") if run.args.muscles else []
+    if names:
+        labels = F.posexplode(F.array(*[F.lit(n) for n in names])).alias("muscle_idx", "muscle")
+        muscles = weights.select(*extraction.KEY).distinct().select(*extraction.KEY, labels)
+        run.write(extraction.wide_modules(weights, muscles, names), "final_synergies_wide")
     chosen = out.select(*extraction.KEY, "k").join(summary.select(*extraction.KEY, "k", "w", "m"), [*extraction.KEY, "k"])
     run.write(chosen, "factors")
     return 0
@@ -166,9 +176,19 @@ def run_external(run: Run) -> int:
     return 0
 
 
+def run_compare(run: Run) -> int:
+    """Bounds of the two data sets side by side, with the two-sample test of their difference."""
+    summary, test = reliability.compare_datasets(
+        run.read("external_reliability"), run.read("reliability_envelope"), "external", run.args.dataset or "main")
+    run.write(summary, "dataset_bounds", fmt="csv")
+    run.write(test, "dataset_test", fmt="csv")
+    return 0
+
+
 def run_within(run: Run) -> int:
-    out = cut_lineage(reliability.within_speed(run.read("stability_summary"), run.blocks(),
-                                               run.args.n or reliability.WITHIN_BOOT))
+    seed = reliability.WITHIN_SEED if run.args.seed is None else run.args.seed
+    out = cut_lineage(reliability.within_speed(run.read("stability_summary"), run.blocks(), run.args.n or reliability.WITHIN_BOOT,
+                                               run.args.starts or reliability.WITHIN_STARTS, seed))
     return sinks.write_guarded(out, f"{run.args.out}/within_speed_reliability", "n_boot_success",
                                run.args.allow_empty_output, run.args.overwrite)
 
@@ -196,6 +216,34 @@ def run_manifest(run: Run) -> int:
     return 0
 
 
+def run_manifests(run: Run) -> int:
+    """One manifest table for all release folders below the input."""
+    run.write(manifests.create_all(run.spark, run.args.input), "manifests")
+    return 0
+
+
+def run_verify_releases(run: Run) -> int:
+    """Files of every release against the manifests in the output folder; 2 if a release has none, 1 on any error."""
+    files = cut_lineage(manifests.create_all(run.spark, run.args.input))
+    known = run.spark.read.parquet(f"{run.args.out}/manifests")
+    status = cut_lineage(manifests.verify_releases(known, files, files.select("release").distinct()))
+    sinks.write_table(status, f"{run.args.out}/release_status", overwrite=True)
+    return manifests.exit_code(status)
+
+
+def run_pack_archives(run: Run) -> int:
+    """Archived condition matrices, found through the registry, into the block table all later stages read."""
+    registry = read_csv(run.spark, run.args.params, REGISTRY)
+    blocks = npz.read_blocks(run.spark, run.args.input)
+    local = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    paths = npz.resolve_inputs(registry, blocks.select("path").distinct()).where("input_path IS NOT NULL").select(
+        "dataset", "subject", F.col("trial").cast("int").alias("trial"), speed_key("speed_mps").alias("speed_key"), "input_path")
+    packed = blocks.withColumn("_p", local).join(paths, F.col("_p") == F.col("input_path")).select(
+        *extraction.KEY, "block_id", "m", F.size("x").cast("bigint").alias("cells"), "x")
+    run.write(packed, "stride_blocks")
+    return 0
+
+
 def run_verify(run: Run) -> int:
     manifest = read_manifest(run.spark, run.args.params)
     status = manifests.verify(manifest, manifests.create(run.spark, run.args.input))
@@ -213,6 +261,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--params", help="YAML parameters (preprocess) or manifest CSV (verify)")
     p.add_argument("--dataset", help="restrict to one dataset")
     p.add_argument("--n", type=int, help="surrogates, replicates or grid points")
+    p.add_argument("--starts", type=int, help="starts of a fit")
+    p.add_argument("--seed", type=int, help="seed of the draws")
+    p.add_argument("--muscles", help="channel names in order, joined by ';' (wide module table)")
     p.add_argument("--test", action="store_true", help="one pair, ten surrogates")
     p.add_argument("--resume", action="store_true", help="skip finished conditions")
     p.add_argument("--overwrite", action="store_true")

@@ -24,7 +24,7 @@ def truthy_parse(spark, sf):
 
 @query("speed_tag", """
 WITH s AS (SELECT *, round_even(o_totalprice / 1000 * 100, 0)::INT AS key FROM orders)
-SELECT o_orderkey, lpad(key::VARCHAR, greatest(4, length(key::VARCHAR)), '0') AS tag, key,
+SELECT o_orderkey, lpad(key::VARCHAR, greatest(4, length(key::VARCHAR))::INT, '0') AS tag, key,
        CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE o_orderstatus END AS trial
 FROM s
 """)

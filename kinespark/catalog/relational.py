@@ -260,13 +260,19 @@ def channel_shift(spark, sf):
 
 
 @query("channel_map_unpivot", """
-SELECT l_orderkey, l_linenumber, l_partkey, 'l_quantity' AS channel, l_quantity AS reading FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_discount', l_discount FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax FROM lineitem
+WITH w AS (SELECT l_orderkey::INT AS subject, l_linenumber || '-' || l_partkey AS condition, trunc(l_quantity)::INT AS q,
+                  trunc(l_discount * 100)::INT AS d, trunc(l_tax * 100)::INT AS t FROM lineitem)
+SELECT subject, condition, 'quantity' AS muscle, q AS channel_num FROM w
+UNION ALL SELECT subject, condition, 'discount', d FROM w
+UNION ALL SELECT subject, condition, 'tax', t FROM w
 """)
 def channel_map_unpivot(spark, sf):
-    return table(spark, sf, "lineitem").unpivot(
-        ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_discount", "l_tax"], "channel", "reading")
+    """Order lines as a wide channel sheet."""
+    from ..sources.tables import read_channel_map
+    sheet = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("Subject"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("Condition"),
+        F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 100).alias("discount"), (F.col("l_tax") * 100).alias("tax"))
+    return read_channel_map(sheet, ["quantity", "discount", "tax"])
 
 
 @query("manifest_verify", """

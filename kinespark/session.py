@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # array rows are large: bound an Arrow batch by bytes, not only by rows
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     # one BLAS thread per Python worker: Spark already owns the cores
