@@ -66,7 +66,13 @@ def condition_speed(spark, sf):
     return table(spark, sf, "part").select("p_partkey", keys.condition_speed(text).alias("speed"))
 
 
-@query("crc32_seed")
+@query("crc32_seed", """
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+         string_split(source || '|' || lang || '|' || doc_id || '|5|0', ''), lambda ch: ord(ch)::BIGINT)),
+       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+         lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)::BIGINT AS seed
+FROM documents
+""")
 def crc32_seed(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", keys.seed32("source", "lang", "doc_id", F.lit(5), F.lit(0)).alias("seed"))

@@ -72,9 +72,19 @@ def friedman_stat(spark, sf):
     return out.select(r("chi2").alias("chi2"), "n", "k")
 
 
-@query("friedman_test")
+# with five treatments the upper tail of chi-square is a finite sum
+@query("friedman_test", f"""
+WITH {PANEL},
+rk AS (SELECT c_nationkey, transition, rank() OVER w + (count(*) OVER (PARTITION BY c_nationkey, drop) - 1) / 2.0::DOUBLE AS r,
+              count(*) OVER (PARTITION BY c_nationkey, drop) AS t FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY drop)),
+s AS (SELECT transition, sum(r) AS R, count(*) AS n, sum(t * t - 1) AS ties FROM rk GROUP BY 1),
+a AS (SELECT sum(R * R) AS RR, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(ties)::DOUBLE AS T FROM s),
+c AS (SELECT (12 / (n * k * (k + 1)) * RR - 3 * n * (k + 1)) / (1 - T / (n * k * (k * k - 1))) AS x, n, k FROM a)
+SELECT round(x, 6) AS chi2, round(exp(-x / 2) * (1 + x / 2), 6) AS p, n::BIGINT AS n, k::BIGINT AS k FROM c
+""")
 def friedman_test(spark, sf):
-    return statistics.friedman(panel(spark, sf), ["c_nationkey"], "transition", "drop")
+    out = statistics.friedman(panel(spark, sf), ["c_nationkey"], "transition", "drop")
+    return out.select(r("chi2").alias("chi2"), r("p").alias("p"), "n", "k")
 
 
 def wide_panel(spark, sf):
@@ -94,6 +104,22 @@ def paired_t(spark, sf):
         "mean_drop_a", "mean_drop_b", "mean_difference", "t_statistic", "dz")])
 
 
+# with an even number of degrees of freedom the tails of Student's t are a finite sum
+@query("paired_t_p", f"""
+WITH {PANEL}, d AS (SELECT a.transition || ' vs ' || b.transition AS comparison, a.drop - b.drop AS d
+  FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.transition < b.transition),
+t AS (SELECT comparison, count(*) - 1 AS nu, abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS t FROM d GROUP BY 1),
+q AS (SELECT comparison, CASE WHEN nu % 2 = 1 THEN error('odd') END AS e, 1 - t / sqrt(nu + t * t) * list_sum(list_transform(range(nu // 2), lambda j:
+        coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2 * i - 1)::DOUBLE / (2 * i))), 1) * pow(nu / (nu + t * t), j))) AS p FROM t),
+s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1) * p AS step FROM q)
+SELECT comparison, round(p, 6) AS p_uncorrected,
+       round(least(1.0::DOUBLE, max(step) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s
+""")
+def paired_t_p(spark, sf):
+    tests = statistics.holm(statistics.paired_tests(wide_panel(spark, sf), LEVELS), "p_uncorrected", tie=["_ord"])
+    return tests.select("comparison", r("p_uncorrected").alias("p_uncorrected"), r("p_holm").alias("p_holm"))
+
+
 @query("paired_t_tests")
 def paired_t_tests(spark, sf):
     tests = statistics.holm(statistics.paired_tests(wide_panel(spark, sf), LEVELS), "p_uncorrected", tie=["_ord"])
