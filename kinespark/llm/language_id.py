@@ -221,9 +221,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, by a model of their labelled rows; ``und`` rows go."""
+    """The rows of ``docs`` whose language can be told, by a model of their labelled rows; ``und`` rows go.
+
+    All columns stay as they are, whatever their names.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return identify(packed, model).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 
 @query("op7_language_id")

@@ -106,14 +106,15 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST,
     found = mix(docs, weights, most, seed)
     found = found.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
     found = found.toDF("_id", "_source", "_size", "_copies")
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                       & (words_in(F.col("text")) == F.col("_size")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", words_in(F.col("text")).alias("_words"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+                       & (F.col("_words") == F.col("_size")))
     several = F.size("_copies") > 1
     alone = joined.where(~several).withColumn("_n", F.element_at("_copies", 1))
     number = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
     repeated = joined.where(several).withColumn("_n", F.element_at("_copies", number))
-    taken = alone.unionByName(repeated).withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    taken = alone.unionByName(repeated).where("_n > 0")
+    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
 
 
 @query("op3_mixing", r"""

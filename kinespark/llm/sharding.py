@@ -56,8 +56,8 @@ def placed(docs: DataFrame, keys: list[str], shards: list[str], slots: int = SLO
     names = [shards[k] for k in lookup_table(shards, slots)]
     slot_table = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "_slot long, shard string")
     key = F.to_json(F.struct(*[docs[k] for k in keys]), {"ignoreNullFields": "false"})
-    docs = docs.withColumn("_key", F.pmod(F.xxhash64(key), F.lit(slots))).drop("slot", "shard")
-    return docs.join(F.broadcast(slot_table), docs["_key"] == slot_table["_slot"]).drop("_slot").withColumnRenamed("_key", "slot")
+    docs = docs.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots))).drop("shard")
+    return docs.join(F.broadcast(slot_table), docs["slot"] == slot_table["_slot"]).drop(slot_table["_slot"])
 
 
 def write_shards(docs: DataFrame, keys: list[str], shards: list[str], path: str, files: int = 1) -> None:
