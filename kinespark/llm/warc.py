@@ -29,6 +29,8 @@ FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
 #: smaller payloads are always written out
 LEAST_REVISIT = 1000
+#: reading tasks; each takes several bundles or frames where there are more
+MOST_TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 #: fixed values of the seekable Zstandard format and of the WARC revisit profile
@@ -218,6 +220,11 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
                                       names=[c.split()[0] for c in _RECORD.split(", ")])
 
 
+def _tasks(bundles: DataFrame) -> int:
+    """Tasks that share the bundles: the rows are short, the work behind them is not, so their size may not decide."""
+    return max(1, min(bundles.count(), MOST_TASKS))
+
+
 def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the bundles that ``index`` names, read frame by frame; damaged ones raise an error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +233,8 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
                 bundle = BundleReader(uri)
                 for k in range(len(bundle.sizes)):
                     yield _record_batch([_record_row(f, b, payloads) for _, _, f, b in parse_records(bundle.frame(k))])
-    return index.select("bundle").distinct().repartition("bundle").mapInArrow(run, _RECORD)
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(_tasks(bundles)).mapInArrow(run, _RECORD)
 
 
 def fetch(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -246,7 +254,8 @@ def fetch(index: DataFrame, payloads: bool = True) -> DataFrame:
             if rows:
                 yield _record_batch(rows)
     keys = ["bundle", "frame", "offset", "length"]
-    return index.select(keys).repartition("bundle", "frame").sortWithinPartitions(*keys).mapInArrow(run, _RECORD)
+    tasks = _tasks(index.select("bundle", "frame").distinct())
+    return index.select(keys).repartition(tasks, "bundle", "frame").sortWithinPartitions(*keys).mapInArrow(run, _RECORD)
 
 
 @query("op4_warc", r"""
