@@ -32,7 +32,7 @@ SKETCH_BLOCKS = 16
 #: lists up to this length give all their pairs, longer ones go by hubs and blocks
 SHORT_LIST = 8
 #: random list choices per document in the block stage
-PICKS = 4
+PICKS = 8
 #: documents of one side of a block
 BLOCK = 500
 
@@ -107,7 +107,12 @@ def _prefix_length(n):
 
 def _needed(n):
     """Tokens that the frequency prefixes of two sets must share (the smaller number of the two sets)."""
-    return 1 + n // 50
+    return 1 + n // 25
+
+
+def _needed_of_smaller(n: F.Column) -> F.Column:
+    """The number needed with the smallest set that can be similar to one of n tokens."""
+    return 1 + F.floor(F.floor(n * NUM / DEN) / 25)
 
 
 def _rare_prefix(tokens: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -159,11 +164,13 @@ def _hub_pairs(token: int, salt: int, sid: np.ndarray, n: np.ndarray, comp: np.n
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of short lists with the number of lists and the number needed, hub pairs of long lists (which need none
-    more; token is null for both), and the members of long lists."""
+    """Of the lists with two sets or more: pairs of short ones with the number of lists and the number needed, hub pairs
+    of long ones (a quarter of it is enough: they only save work later), the members of long ones (with a token), and
+    how many lists each set is in (without b)."""
     for part in sorted_groups(batches, ["token"]):
-        pairs, hubs, rows = [], [], []
+        pairs, rows, members = [], [], []
         for token, sid, n in _runs(part):
+            members.append(sid)
             if len(sid) <= SHORT_LIST:
                 i, j = np.triu_indices(len(sid), 1)
                 keep = _fits(n[i], n[j])
@@ -171,11 +178,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs.append(np.stack([sid[i], sid[j], _needed(np.minimum(n[i], n[j]))], 1))
             else:
                 x, y = _hub_pairs(token, 0, sid, n, sid)
-                hubs.append(np.stack([x, y, np.zeros(len(x), np.int64)], 1))
+                pairs.append(np.stack([x, y, np.full(len(x), _needed(int(n.min())) // 4)], 1))
                 rows.append((token, sid, n))
-        if pairs or hubs:
-            found, count = np.unique(np.concatenate(pairs + hubs), axis=0, return_counts=True)
+        if pairs:
+            found, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             yield _list_batch(None, found[:, 0], found[:, 1], count, found[:, 2])
+            sid, count = np.unique(np.concatenate(members), return_counts=True)
+            yield _list_batch(None, sid, None, count, None)
         for token, sid, n in rows:
             yield _list_batch(token, sid, None, n, None)
 
@@ -375,9 +384,12 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, hub_rounds: int
     lists = cut(index.repartition(_partitions(spark), "token").sortWithinPartitions("token", "sid").mapInArrow(
         _lists, "token long, a long, b long, n long, need long"))
     # a pair that also meets in a long list may fall short here: the stages of the long lists have all their pairs
-    pairs = lists.where("token is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    pairs = lists.where("token is null and b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     pairs = cut(pairs.where("n >= need").select("a", "b"))
-    rows = lists.where("token is not null").select("token", F.col("a").alias("sid"), "n")
+    # a set in fewer lists than any similar one must share with it is out of the long ones; the partner may be smaller
+    shared = lists.where("token is null and b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("lists"))
+    rows = lists.where("token is not null").select("token", F.col("a").alias("sid"), "n").join(shared, "sid")
+    rows = cut(rows.where(F.col("lists") >= _needed_of_smaller(F.col("n"))).drop("lists"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(rows.select("sid")).distinct()
     holders = cut(classes.join(wanted, "sid", "left_semi"))
