@@ -30,9 +30,9 @@ NUM, DEN = 75, 100
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 #: lists up to this length give all their pairs, longer ones go by hubs and blocks
-SHORT_LIST = 8
+SHORT_LIST = 64
 #: random list choices per document in the block stage
-PICKS = 8
+PICKS = 16
 #: documents of one side of a block
 BLOCK = 500
 
