@@ -2,7 +2,8 @@
 
 The vocabulary is counted over all documents. Training goes over all documents as well: in a round every task starts
 from the same parameters, trains on the masked positions of its documents, and the results are averaged by the number
-of those positions, in a tree of bounded fan-in. A document's score is the sum of the log-probabilities of its words,
+of those positions, in a tree of bounded fan-in. The rounds divide all positions among them: every word of every document
+is predicted once, from both of its sides. A document's score is the sum of the log-probabilities of its words,
 each given the words around it.
 """
 
@@ -25,8 +26,8 @@ KNOWN, OTHER = 960, 64
 CLASSES, MEMBERS = 32, 32
 #: words looked at on either side, and units of the hidden layer
 REACH, HIDDEN = 2, 24
-#: rounds of training; one position in MASKED is predicted in a round, another choice in each
-ROUNDS, MASKED = 2, 10
+#: rounds of training; every position is masked in one of them
+ROUNDS = 2
 BATCH, RATE = 2048, 0.1
 SEED = 11
 #: parameter sets that one task averages
@@ -58,25 +59,26 @@ class Network:
             h += self.near[k][around[k]]
         np.tanh(h, out=h)
         c = word // MEMBERS
-        return h, _log_softmax(h @ self.to_class + self.class_bias), _log_softmax(h @ self.to_member + self.member_bias[c]), c
+        return h, h @ self.to_class + self.class_bias, h @ self.to_member + self.member_bias[c], c
 
     def log_prob(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         _, a, b, c = self._forward(around, word)
-        at = np.arange(len(word))
-        return a[at, c].astype(np.float64) + b[at, word % MEMBERS]
+        return _log_share(a, c) + _log_share(b, word % MEMBERS)
 
     def step(self, around: np.ndarray, word: np.ndarray, past: "Network") -> None:
         """One step of adaptive gradient descent; ``past`` holds the sums of squared gradients."""
         h, a, b, c = self._forward(around, word)
         n, at = len(word), np.arange(len(word))
-        da, db = np.exp(a), np.exp(b)
+        da, db = _softmax(a), _softmax(b)
         da[at, c] -= 1
         db[at, word % MEMBERS] -= 1
         da /= n
         db /= n
         dz = (da @ self.to_class.T + db @ self.to_member.T) * (1 - h * h)
         member = np.zeros_like(self.member_bias)
-        np.add.at(member, c, db)
+        order = np.argsort(c, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
+        member[c[order[first]]] = np.add.reduceat(db[order], first, axis=0)
         dense = ((self.bias, past.bias, dz.sum(0)), (self.to_class, past.to_class, h.T @ da), (self.class_bias, past.class_bias, da.sum(0)),
                  (self.to_member, past.to_member, h.T @ db), (self.member_bias, past.member_bias, member))
         for value, squares, grad in dense:
@@ -92,9 +94,18 @@ class Network:
             self.near[k][rows] -= RATE * grad / (np.sqrt(past.near[k][rows]) + 1e-6)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_share(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at its ``which``."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), which].astype(np.float64)
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -141,7 +152,14 @@ def _neighbours(ids: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def _train(words, start, turn: int):
+def _masked(hashes: np.ndarray, before: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Positions whose word is predicted in round ``turn``; the rounds together have each position once."""
+    place = np.arange(len(hashes)) - np.repeat(before[:-1], np.diff(before))
+    luck = mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rounds)
+    return np.flatnonzero(luck == turn)
+
+
+def _train(words, start, turn: int, rounds: int):
     """Parameters of a task after its masked positions, and their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(start.value.copy())
@@ -160,9 +178,7 @@ def _train(words, start, turn: int):
         for batch in batches:
             for _, hashes, before in _hashes(batch.column(0)):
                 ids = _ids(hashes, words.value)
-                place = np.arange(len(ids)) - np.repeat(before[:-1], np.diff(before))
-                luck = mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(MASKED)
-                masked = np.flatnonzero(luck == 0)
+                masked = _masked(hashes, before, turn, rounds)
                 held.append((_neighbours(ids, before)[:, masked], ids[masked]))
                 learn(BATCH)
         learn(1)
@@ -190,7 +206,7 @@ def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], rounds: int = R
     vocabulary_, net = context.broadcast(words), Network()
     schema = "part long, n long, flat binary"
     for turn in range(rounds):
-        found = cut(docs.select("text").mapInArrow(_train(vocabulary_, context.broadcast(net.flat), turn), schema))
+        found = cut(docs.select("text").mapInArrow(_train(vocabulary_, context.broadcast(net.flat), turn, rounds), schema))
         tasks = (found.agg(F.max("part")).first()[0] or 0) + 1
         while tasks > 1:
             found = found.withColumn("up", F.floor(F.col("part") / FAN_IN)).groupBy("up").applyInArrow(_average, schema)
