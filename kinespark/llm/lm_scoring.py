@@ -1,6 +1,8 @@
 """Masked pseudo-likelihood: a small bidirectional window network predicts every word from both of its sides.
 
-The vocabulary is counted over all documents. Training goes over all documents as well: in a round every task starts
+All words of all documents are counted. The most frequent ones have an id of their own, and how many do rises with the
+number of distinct words. The others share ids by hash: such a word has the probability of its id times its part of
+the words that were counted for the id, so that the words of an id divide its probability among them. Training goes over all documents as well: in a round every task starts
 from the same parameters, trains on the masked positions of its documents, and the results are averaged by the number
 of those positions, in a tree of bounded fan-in. The rounds divide all positions among them: every word of every document
 is predicted once, from both of its sides. A document's score is the sum of the log-probabilities of its words,
@@ -21,9 +23,10 @@ from pyspark.sql import types as T
 from .common import binaries, cut, query, table
 from .text import mix, string_chunks, word_bounds, word_hashes
 
-#: words with an id of their own, and ids that all other words share by hash; together CLASSES * MEMBERS
-KNOWN, OTHER = 960, 64
-CLASSES, MEMBERS = 32, 32
+#: ids are SIDE classes of SIDE members at least; about SPREAD times the root of the number of distinct words if that is more
+SIDE, SPREAD = 32, 1.0
+#: one id in SHARED is shared by hash, by words that have no id of their own
+SHARED = 16
 #: words looked at on either side, and units of the hidden layer
 REACH, HIDDEN = 2, 24
 #: rounds of training; every position is masked in one of them
@@ -33,37 +36,47 @@ SEED = 11
 #: parameter sets that one task averages
 FAN_IN = 64
 
-_SIZE = CLASSES * MEMBERS
-_EDGE = _SIZE  # stands beyond the ends of a text
 
+def _known(side: int) -> int:
+    """Words with an id of their own among side * side ids; the id behind the last stands beyond the ends of a text."""
+    return side * side - side * side // SHARED
 
-def _shapes() -> list[tuple[int, ...]]:
-    return [(2 * REACH, _SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (HIDDEN, MEMBERS), (CLASSES, MEMBERS)]
+
+def _side(words: tuple[np.ndarray, np.ndarray]) -> int:
+    """Classes, and members of a class, of the ids of a vocabulary."""
+    side = SIDE
+    while _known(side) < len(words[0]):
+        side += 4
+    return side
+
+
+def _shapes(side: int) -> list[tuple[int, ...]]:
+    return [(2 * REACH, side * side + 1, HIDDEN), (HIDDEN,), (HIDDEN, side), (side,), (HIDDEN, side), (side, side)]
 
 
 class Network:
     """Sum of one row per neighbour, a tanh, then the class of the word and its member of the class."""
 
-    def __init__(self, flat: np.ndarray | None = None) -> None:
-        sizes = [int(np.prod(s)) for s in _shapes()]
+    def __init__(self, flat: np.ndarray | None = None, side: int = SIDE) -> None:
+        sizes = [int(np.prod(s)) for s in _shapes(side)]
         if flat is None:
             flat = np.random.default_rng(SEED).normal(0, 0.1, sum(sizes)).astype(np.float32)
-        self.flat = flat
+        self.flat, self.side = flat, side
         parts = np.split(flat, np.cumsum(sizes)[:-1])
         self.near, self.bias, self.to_class, self.class_bias, self.to_member, self.member_bias = (
-            p.reshape(s) for p, s in zip(parts, _shapes(), strict=True))
+            p.reshape(s) for p, s in zip(parts, _shapes(side), strict=True))
 
     def _forward(self, around: np.ndarray, word: np.ndarray):
         h = self.bias + self.near[0][around[0]]
         for k in range(1, 2 * REACH):
             h += self.near[k][around[k]]
         np.tanh(h, out=h)
-        c = word // MEMBERS
+        c = word // self.side
         return h, h @ self.to_class + self.class_bias, h @ self.to_member + self.member_bias[c], c
 
     def log_prob(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         _, a, b, c = self._forward(around, word)
-        return _log_share(a, c) + _log_share(b, word % MEMBERS)
+        return _log_share(a, c) + _log_share(b, word % self.side)
 
     def step(self, around: np.ndarray, word: np.ndarray, past: "Network") -> None:
         """One step of adaptive gradient descent; ``past`` holds the sums of squared gradients."""
@@ -71,12 +84,12 @@ class Network:
         n, at = len(word), np.arange(len(word))
         da, db = _softmax(a), _softmax(b)
         da[at, c] -= 1
-        db[at, word % MEMBERS] -= 1
+        db[at, word % self.side] -= 1
         da /= n
         db /= n
         dz = (da @ self.to_class.T + db @ self.to_member.T) * (1 - h * h)
         member = np.zeros_like(self.member_bias)
-        order = np.argsort(c, kind="stable")
+        order = _order(c)
         first = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
         member[c[order[first]]] = np.add.reduceat(db[order], first, axis=0)
         dense = ((self.bias, past.bias, dz.sum(0)), (self.to_class, past.to_class, h.T @ da), (self.class_bias, past.class_bias, da.sum(0)),
@@ -85,13 +98,19 @@ class Network:
             squares += grad * grad
             value -= RATE * grad / (np.sqrt(squares) + 1e-6)
         for k in range(2 * REACH):
-            order = np.argsort(around[k], kind="stable")
+            order = _order(around[k])
             rows = around[k][order]
             first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
             grad = np.add.reduceat(dz[order], first, axis=0)
             rows = rows[first]
-            past.near[k][rows] += grad * grad
-            self.near[k][rows] -= RATE * grad / (np.sqrt(past.near[k][rows]) + 1e-6)
+            squares = past.near[k][rows] + grad * grad
+            past.near[k][rows] = squares
+            self.near[k][rows] -= RATE * grad / (np.sqrt(squares) + 1e-6)
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Stable order; short numbers are ordered by their digits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -122,10 +141,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending hashes, ids) of the most frequent words of all documents; id 0 is the most frequent one."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of ``docs`` (text) by its hash, written to the shared folder."""
     counts = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(known).collect()]
+    return cut(counts)
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, ids) of the words with an id of their own: the most frequent ones, id 0 the most frequent of all.
+
+    Their number rises with the number of distinct words. ``counts`` are the ``word_counts`` of ``docs`` if they are there.
+    """
+    counts = word_counts(docs) if counts is None else counts
+    side, distinct = SIDE, counts.count()
+    while side * side < SPREAD * distinct ** 0.5:
+        side += 4
+    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(_known(side)).collect()]
     words = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], order.astype(np.int64)
@@ -133,7 +164,8 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[np.ndarray, np.ndar
 
 def _ids(hashes: np.ndarray, vocabulary_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     words, ids = vocabulary_
-    out = (KNOWN + hashes % np.uint64(OTHER)).astype(np.int64)
+    side = _side(vocabulary_)
+    out = (_known(side) + hashes % np.uint64(side * side - _known(side))).astype(np.int64)
     if len(words):
         at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
         hit = words[at] == hashes
@@ -141,11 +173,28 @@ def _ids(hashes: np.ndarray, vocabulary_: tuple[np.ndarray, np.ndarray]) -> np.n
     return out
 
 
-def _neighbours(ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+def shared_counts(counts: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For every id, how often the words that share it were counted; 0 for an id of one word."""
+    vocabulary_, known = counts.sparkSession.sparkContext.broadcast(words), _known(_side(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_side(words) ** 2, np.int64)
+        for batch in batches:
+            ids = _ids(batch.column(0).to_numpy().view(np.uint64), vocabulary_.value)
+            np.add.at(total, ids, batch.column(1).to_numpy())
+        some = known + np.flatnonzero(total[known:])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+    out = np.zeros(_side(words) ** 2, np.int64)
+    for r in counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
+def _neighbours(ids: np.ndarray, before: np.ndarray, edge: int) -> np.ndarray:
     """(2 * REACH, words) ids around each word; beyond the ends of its text there is the edge."""
     rows = np.repeat(np.arange(len(before) - 1), np.diff(before))
     lo, hi, at = before[:-1][rows], before[1:][rows], np.arange(len(ids))
-    out = np.full((2 * REACH, len(ids)), _EDGE, np.int64)
+    out = np.full((2 * REACH, len(ids)), edge, np.int64)
     for k, shift in enumerate([s for s in range(-REACH, REACH + 1) if s]):
         inside = (at + shift >= lo) & (at + shift < hi)
         out[k, inside] = ids[at[inside] + shift]
@@ -162,8 +211,8 @@ def _masked(hashes: np.ndarray, before: np.ndarray, turn: int, rounds: int) -> n
 def _train(words, start, turn: int, rounds: int):
     """Parameters of a task after its masked positions, and their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(start.value.copy())
-        past = Network(np.zeros_like(net.flat))
+        net = Network(start.value.copy(), _side(words.value))
+        past = Network(np.zeros_like(net.flat), net.side)
         trained, held = 0, []
 
         def learn(least: int) -> None:
@@ -179,7 +228,7 @@ def _train(words, start, turn: int, rounds: int):
             for _, hashes, before in _hashes(batch.column(0)):
                 ids = _ids(hashes, words.value)
                 masked = _masked(hashes, before, turn, rounds)
-                held.append((_neighbours(ids, before)[:, masked], ids[masked]))
+                held.append((_neighbours(ids, before, net.side ** 2)[:, masked], ids[masked]))
                 learn(BATCH)
         learn(1)
         if trained:
@@ -203,7 +252,7 @@ def _average(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Network:
     """Network trained on all of ``docs`` (text). Without any word the parameters stay as they begin."""
     context = docs.sparkSession.sparkContext
-    vocabulary_, net = context.broadcast(words), Network()
+    vocabulary_, net = context.broadcast(words), Network(side=_side(words))
     schema = "part long, n long, flat binary"
     for turn in range(rounds):
         found = cut(docs.select("text").mapInArrow(_train(vocabulary_, context.broadcast(net.flat), turn, rounds), schema))
@@ -213,33 +262,38 @@ def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], rounds: int = R
             tasks = -(-tasks // FAN_IN)
         last = found.collect()
         if last:
-            net = Network(np.frombuffer(last[0]["flat"], np.float32).copy())
+            net = Network(np.frombuffer(last[0]["flat"], np.float32).copy(), net.side)
     return net
 
 
+def _log_probs(net: Network, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Log-probability of the id of every word given the ids around it."""
+    around, value = _neighbours(ids, before, net.side ** 2), np.empty(len(ids))
+    for k in range(0, len(ids), 1 << 12):
+        value[k:k + (1 << 12)] = net.log_prob(around[:, k:k + (1 << 12)], ids[k:k + (1 << 12)])
+    return value
+
+
 def score(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], net: Network) -> DataFrame:
     """``docs`` (text; other columns stay) with ``n_words``, ``log_prob`` and ``mean_log_prob`` (replaced if there).
 
-    ``log_prob`` sums the log-probability of every word of the whole text given its neighbours. A null, empty or
-    wordless text has none: 0, 0.0 and null. Rows are independent; an empty table gives an empty table.
+    ``log_prob`` sums the log-probability of the id of every word of the whole text given its neighbours; words that
+    share an id are not told apart (``score_words`` does). A null, empty or wordless text has none: 0, 0.0 and null.
+    Rows are independent; an empty table gives an empty table.
     """
     context = docs.sparkSession.sparkContext
-    vocabulary_, flat = context.broadcast(words), context.broadcast(net.flat)
+    vocabulary_, flat, side = context.broadcast(words), context.broadcast(net.flat), net.side
     docs = docs.drop("n_words", "log_prob", "mean_log_prob")
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()),
                            T.StructField("mean_log_prob", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat.value)
+        net = Network(flat.value, side)
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for first, hashes, before in _hashes(batch.column(at)):
-                ids = _ids(hashes, vocabulary_.value)
-                around, value = _neighbours(ids, before), np.empty(len(ids))
-                for k in range(0, len(ids), 1 << 14):
-                    value[k:k + (1 << 14)] = net.log_prob(around[:, k:k + (1 << 14)], ids[k:k + (1 << 14)])
-                sums = np.concatenate([[0.0], np.cumsum(value)])
+                sums = np.concatenate([[0.0], np.cumsum(_log_probs(net, _ids(hashes, vocabulary_.value), before))])
                 n[first:first + len(before) - 1] = np.diff(before)
                 total[first:first + len(before) - 1] = sums[before[1:]] - sums[before[:-1]]
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
@@ -247,8 +301,56 @@ def score(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], net: Network) -
     return docs.mapInArrow(run, schema)
 
 
+def score_words(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], net: Network, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) of every row of ``docs`` (doc_id, text), as ``score`` has them, but of words.
+
+    A word that shares its id has the probability of the id times n / (N + 1): n is how often the word was counted,
+    N how often all words of the id were. A word that was never counted has the 1 / (N + 1) that is left. The words of
+    a document meet their counts in a join by word; each stretch of texts names a word once, with its rows.
+    """
+    context, known = docs.sparkSession.sparkContext, _known(net.side)
+    vocabulary_, flat, side = context.broadcast(words), context.broadcast(net.flat), net.side
+    among = context.broadcast(np.log(shared_counts(counts, words) + 1.0))
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("rows", T.ArrayType(T.LongType())), docs.schema["doc_id"],
+                           T.StructField("n_words", T.LongType()), T.StructField("base", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, seen = Network(flat.value, side), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, hashes, before in _hashes(batch.column(1)):
+                ids = _ids(hashes, vocabulary_.value)
+                sums = np.concatenate([[0.0], np.cumsum(_log_probs(net, ids, before) - among.value[ids])])
+                size = len(before) - 1
+                row = seen + first + np.arange(size)
+                # a row for each document; its number is spread, so that it meets no word and no other row
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(row.astype(np.uint64)).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(row)),
+                     batch.column(0).slice(first, size), pa.array(np.diff(before)), pa.array(sums[before[1:]] - sums[before[:-1]])],
+                    names=schema.names)
+                shared = np.flatnonzero(ids >= known)
+                if not len(shared):
+                    continue
+                shared = shared[np.argsort(hashes[shared], kind="stable")]
+                word = hashes[shared]
+                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                rows = pa.array(np.repeat(row, np.diff(before))[shared])
+                none = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[starts].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(word)).astype(np.int32)), rows),
+                     pa.nulls(none, batch.column(0).type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64())], names=schema.names)
+            seen += batch.num_rows
+    often = counts.where("n > 1").select("word", F.log(F.col("n").cast("double")).alias("more"))  # a single one adds log 1
+    met = docs.mapInArrow(run, schema).join(often, "word", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    # a document's row is its own; should it meet a word's number, that word's count is not taken for it
+    parts = met.select(F.explode("rows").alias("row"), "doc_id", "n_words", F.coalesce("base", "more").alias("part"))
+    done = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("log_prob"))
+    return done.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
+
+
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    counts = word_counts(docs)
+    words = vocabulary(docs, counts)
+    return score_words(docs, words, train(docs, words), counts)
