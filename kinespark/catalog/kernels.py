@@ -21,7 +21,6 @@ from . import query, table
 from .relational import r
 
 SPEEDS = (500, 400, 333, 300, 278)
-SHORT = {"max_iter": 40}
 
 
 def whole_vectors(spark, sf):
@@ -160,20 +159,18 @@ def nnls_fidelity(spark, sf):
     return errors.groupBy("label").agg(r(1 - F.sum("sse") / F.sum("sst")).alias("fidelity"))
 
 
-def stage_tables(spark, sf, n_starts=2):
-    """Blocks, extraction summary and every condition treated as stable at its chosen rank."""
+def stage_tables(spark, sf):
+    """Blocks, extraction summary and chosen ranks, as the stages make them."""
     b = ready_blocks(spark, sf)
-    rule = replace(kernels.EXTRACTION, max_iter=60, tol=1e-3)
-    summary = cut_lineage(extraction.extract(b, n_starts=n_starts, rule=rule))
-    chosen = extraction.choose_rank(summary.withColumn("converged", F.lit(True)), max_drop=0.05)
-    return b, summary, cut_lineage(chosen)
+    summary = cut_lineage(extraction.extract(b))
+    return b, summary, cut_lineage(extraction.choose_rank(summary))
 
 
 def stable_tables(spark, sf):
+    """Blocks, the stability summary and the factors of the chosen ranks."""
     b, summary, chosen = stage_tables(spark, sf)
-    rows = chosen.where("chosen_k IS NOT NULL")
-    stable = cut_lineage(rows.select(*KEY, "k", "n_strides", F.lit(True).alias("pass_stability")))
-    return b, stable, cut_lineage(rows.select(*KEY, "k", "w", "m"))
+    stable = cut_lineage(extraction.stability(b, chosen, summary))
+    return b, stable, cut_lineage(chosen.where("chosen_k IS NOT NULL").select(*KEY, "k", "w", "m"))
 
 
 @query("module_extraction")
@@ -186,7 +183,7 @@ def module_extraction(spark, sf):
 @query("consensus_stability")
 def consensus_stability(spark, sf):
     b, summary, chosen = stage_tables(spark, sf)
-    out = extraction.stability(b, chosen, summary, n_boot=6, n_starts=2, rule=replace(kernels.STABILITY, max_iter=40))
+    out = extraction.stability(b, chosen, summary)
     return out.select(*KEY, "k", "n_strides", "n_boot_success", "cophenetic", "dispersion", "w_cosine_median",
                       "w_cosine_min", "pass_stability", "fail_reason")
 
@@ -201,26 +198,26 @@ def pairwise_fidelity(spark, sf):
 def surrogate_null(spark, sf):
     b, stable, factors = stable_tables(spark, sf)
     fid = cut_lineage(fidelity.reference(stable, factors, b))
-    return fidelity.surrogates(fid, factors, b, n_surrogates=5)
+    return fidelity.surrogates(fid, factors, b)
 
 
 @query("module_similarity")
 def module_similarity(spark, sf):
     b, stable, factors = stable_tables(spark, sf)
     fid = cut_lineage(fidelity.reference(stable, factors, b))
-    return fidelity.similarity(fid, b, rule=replace(kernels.ENVELOPE, **SHORT))
+    return fidelity.similarity(fid, b)
 
 
 @query("half_split_reliability")
 def half_split_reliability(spark, sf):
     b, stable, _ = stable_tables(spark, sf)
-    return reliability.within_speed(stable, b, n_boot=6, n_starts=2, rule=replace(kernels.WITHIN, **SHORT))
+    return reliability.within_speed(stable, b)
 
 
 @query("reference_envelope")
 def reference_envelope(spark, sf):
     b, stable, _ = stable_tables(spark, sf)
-    out, _ = reliability.envelope(stable, b, n_boot=24, n_ci=50, rule=replace(kernels.ENVELOPE, **SHORT))
+    out, _ = reliability.envelope(stable, b)
     return out
 
 
@@ -228,7 +225,7 @@ def reference_envelope(spark, sf):
 def external_reliability(spark, sf):
     b = ready_blocks(spark, sf)
     trials = b.select(*KEY).distinct()
-    out, _ = reliability.external(trials, b, n_boot=12, n_starts=2, k=3, rule=replace(kernels.EXTERNAL, **SHORT))
+    out, _ = reliability.external(trials, b)
     return out
 
 
@@ -260,8 +257,7 @@ def variant_inputs(spark, sf):
 @query("variant_floors")
 def variant_floors(spark, sf):
     b, stable, bounds, null = variant_inputs(spark, sf)
-    quick = {v.name: replace(v, rule=replace(v.rule, **SHORT)) for v in sensitivity.VARIANTS}
-    parts = [sensitivity.variant_floors(v, stable, bounds, null, b, n_starts=2) for v in quick.values()]
+    parts = [sensitivity.variant_floors(v, stable, bounds, null, b) for v in sensitivity.VARIANTS]
     return reduce(DataFrame.unionByName, parts)
 
 
