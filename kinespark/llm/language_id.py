@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import cut, query, table
 from .text import mix, string_chunks
 
-#: documents of a language that the model is fitted on, on average at most (chosen by a hash of the text)
+#: different texts of a language that the model is fitted on, on average at most (chosen by a hash of the text)
 PER_LANGUAGE = 3000
 #: words, and n-grams of each length, that the model keeps for a language: the most frequent ones
 WORDS_KEPT = 20_000
@@ -153,24 +153,27 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS_KEPT, grams: int = GRAMS_KEPT) -> Model:
     """Model of the labelled rows of ``docs`` (text, lang).
 
-    Languages with more than about ``per_language`` rows are sampled by a hash of the text; the tables that come to the
-    driver hold ``words`` words and ``grams`` n-grams of each length for a language, whatever the input. Null texts and
-    languages are passed over. Without any labelled row the model knows no language.
+    Equal texts of a language count once. Languages with more than about ``per_language`` different texts are sampled by
+    a hash of the text; the tables that come to the driver hold ``words`` words and ``grams`` n-grams of each length for
+    a language, whatever the input. Null texts and languages are passed over, and so are languages without any word.
+    Without any labelled word the model knows no language.
     """
     named = docs.where("text is not null and lang is not null").select("lang", "text")
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in named.groupBy("lang").count().collect()}
+    distinct = named.groupBy("lang", F.xxhash64("text").alias("h")).count().groupBy("lang").count().collect()
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in distinct}
     if not share:
         return Model([], (np.zeros(0, np.uint64), np.zeros((0, 0))), [])
     shares = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
     luck = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = named.join(F.broadcast(shares), "lang").where(luck < F.col("share")).select("lang", F.lower("text").alias("text"))
+    sample = named.join(F.broadcast(shares), "lang").where(luck < F.col("share")).select("lang", "text").distinct()
+    sample = sample.select("lang", F.lower("text").alias("text"))
     counts = sample.mapInArrow(_count, "lang string, kind int, gram long, c long")
     counts = counts.groupBy("lang", "kind", "gram").agg(F.sum("c").alias("c"))
     counts = counts.withColumn("total", F.sum("c").over(Window.partitionBy("lang", "kind")))
     top = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "gram"))
     kept = counts.withColumn("rank", top).where(F.when(F.col("kind") == 0, F.col("rank") <= words).otherwise(F.col("rank") <= grams))
     pdf = kept.select("lang", "kind", "gram", "c", "total").toPandas()
-    languages = sorted(share, key=lambda x: x.encode())
+    languages = sorted(pdf["lang"][pdf["kind"] == 0].unique(), key=lambda x: x.encode())
     tables = [_log_shares(pdf[pdf["kind"] == kind], languages) for kind in range(LONGEST + 1)]
     return Model(languages, tables[0], tables[1:])
 
@@ -178,13 +181,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS_KE
 def _log_shares(pdf, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gram, row = np.unique(pdf["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
     frequency = np.full((len(gram), len(languages)), 0.5)
-    total = np.ones(len(languages))
+    total = np.zeros(len(languages))
     for k, lang in enumerate(languages):
         own = (pdf["lang"] == lang).to_numpy()
         frequency[row[own], k] += pdf["c"].to_numpy()[own]
         if own.any():
             total[k] = pdf["total"].to_numpy()[own][0]
-    share = np.log(frequency / total)
+    share = np.log(frequency / (total + 0.5 * len(gram)))
     share -= np.logaddexp.reduce(share, axis=1, keepdims=True) if len(gram) else 0
     return gram, share.astype(np.float32)
 
