@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-OPERATORS = ["ngram_join", "secret_scan", "exact_dedup", "mixing", "sharding", "packing", "language_id", "embedding_dedup", "warc", "lm_scoring"]
+OPERATORS = ["ngram_join", "secret_scan", "exact_dedup", "mixing", "sharding", "packing", "language_id", "embedding_dedup", "warc", "lm_scoring",
+             "piece_tokens"]
 
 
 def load_all() -> tuple[dict, dict]:

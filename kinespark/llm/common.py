@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 
@@ -79,6 +80,17 @@ def dense(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def appended(df: DataFrame, read: str, new: dict[str, T.DataType]) -> tuple[int, DataFrame, T.StructType]:
+    """Place of column ``read``, ``df`` under plain names without the columns of ``new``, and the schema with those at the end.
+
+    A function over Arrow batches takes these: columns of any name, dots included, then pass it.
+    """
+    stay = [i for i, c in enumerate(df.columns) if c not in new]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[f"c{i}" for i in stay])
+    schema = T.StructType([*[df.schema.fields[i] for i in stay], *[T.StructField(n, t) for n, t in new.items()]])
+    return [df.columns[i] for i in stay].index(read), plain, schema
+
+
 def binaries(column: pa.Array, dtype) -> list[np.ndarray]:
     """The rows of a binary column as arrays that share its memory."""
     if isinstance(column, pa.ChunkedArray):
