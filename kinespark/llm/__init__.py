@@ -3,7 +3,7 @@
 from importlib import import_module
 
 OPERATORS = ["ngram_join", "secret_scan", "exact_dedup", "mixing", "sharding", "packing", "language_id", "embedding_dedup", "warc", "lm_scoring",
-             "piece_tokens", "hard_negatives"]
+             "piece_tokens", "hard_negatives", "merkle"]
 
 
 def load_all() -> tuple[dict, dict]:
