@@ -123,13 +123,14 @@ def nmf_block_steps(spark, sf):
         F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("_c"))
     start_h = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda c: F.transform(
         "_c", lambda s: 1 + ((s["vec_id"] * (c + 3)) % 7) / 10))
-    state = packed.select("label", F.lit(2).alias("k"), "block_id", F.lit(64).alias("m"),
-                          F.flatten(F.transform("_c", lambda s: s["v"])).alias("x"), F.flatten(start_h).alias("h"))
+    state = packed.select("label", F.lit(2).alias("k"), "block_id", F.lit(1).alias("weight"), F.flatten(start_h).alias("h"))
+    data = factorise.placed(packed.select("label", "block_id", F.lit(64).alias("m"), F.flatten(F.transform(
+        "_c", lambda s: s["v"])).alias("x")), ["label"])
     start_w = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda j: 1 + (
         (F.floor(j / 2) * 7 + (j % 2) * 13) % 10) / 10)
     factors = rows.select("label").distinct().select("label", F.lit(2).alias("k"), F.lit(64).alias("m"), start_w.alias("w"))
     rule = replace(kernels.EXTRACTION, max_iter=STEPS)
-    out, _ = factorise.iterate_large(factors, state, ids, rule)
+    out, _ = factorise.iterate_large(factors, state, data, ["label"], ids, rule)
     return out.select("label", F.posexplode("w").alias("j", "v")).select(
         "label", F.floor(F.col("j") / 2).cast("int").alias("channel"), (F.col("j") % 2).cast("int").alias("module"),
         r("v", 5).alias("weight"))

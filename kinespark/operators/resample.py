@@ -3,10 +3,11 @@
 ``replicate_fits`` answers, for every condition and replicate: draw strides, fit
 each side, and measure how well each side's factors reconstruct the other. The
 draws are one table, built in parallel from hashes of (seed, replicate, side,
-position), whatever the size of a condition. One that fits a task gets its
-share of the table as arrays (a few replicates per task, so its data is sent once
-per chunk of replicates); a larger one is joined with it and fitted block-wise.
-Blocks are numbered from 0.
+position), whatever the size of a condition. A replicate is a weight per stride on
+one copy of the data: statistics are multiplied by how often a stride was drawn, and
+copies of a stride start alike, so nothing is repeated. A condition that fits a task
+gets its share of the draws as arrays (a few replicates per task); a larger one is
+fitted block-wise, all replicates and starts in one run. Blocks are numbered from 0.
 """
 
 from __future__ import annotations
@@ -67,18 +68,20 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
             try:
                 if not np.isfinite(X3).all():
                     raise ValueError(NONFINITE)
-                parts = [X3[:, idx].reshape(X3.shape[0], -1) for idx in sides]
+                counted = [np.unique(idx, return_counts=True) for idx in sides]
+                parts = [X3[:, at].reshape(X3.shape[0], -1) for at, _ in counted]
+                weights = [np.repeat(n, X3.shape[2]).astype(float) for _, n in counted]
                 out = []
-                for side, X in enumerate(parts):
-                    at = range(len(sides[side]))
-                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side), at, [X3.shape[2]] * len(at))
+                for side, (X, (at, n), weight) in enumerate(zip(parts, counted, weights, strict=True)):
+                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side), at, [X3.shape[2]] * len(at), weight)
                     if normalise:
                         W, H = kernels.unit_sum(W, H, rule.eps)
-                    out += [W.ravel(), H.reshape(H.shape[0], len(sides[side]), -1).mean(axis=1).ravel()]
+                    wave = (H.reshape(H.shape[0], len(at), -1) * n[:, None]).sum(axis=1) / n.sum()
+                    out += [W.ravel(), wave.ravel()]
                 if scheme.two_sides:
                     k = int(row.k)
-                    fids = [kernels.fidelity(out[0].reshape(-1, k), parts[1]),
-                            kernels.fidelity(out[2].reshape(-1, k), parts[0])]
+                    fids = [kernels.fidelity(out[0].reshape(-1, k), parts[1], weights[1]),
+                            kernels.fidelity(out[2].reshape(-1, k), parts[0], weights[0])]
                     fids = [f if np.isfinite(f) else None for f in fids]
                 else:
                     out, fids = [*out, None, None], [None, None]
@@ -141,15 +144,14 @@ def _seeds(fit_seeds: Callable):
 
 
 def _large(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule, fit_seeds: Callable,
-           lo: int, hi: int, n_starts: int, normalise: bool) -> DataFrame:
+           lo: int, hi: int, normalise: bool) -> DataFrame:
     run_keys = [*keys, "replicate", "side"]
     at = drawn_positions(conditions, keys, scheme, lo, hi)
-    sampled = cut_lineage(blocks.join(at, [*keys, "block_id"]).select(
-        *run_keys, F.col("position").alias("block_id"), "m", "x"))
-    wanted = sampled.select(*run_keys).distinct().join(
+    draws = cut_lineage(at.groupBy(*run_keys, "block_id").agg(F.count("*").alias("weight")))  # a number for each drawn stride
+    wanted = draws.select(*run_keys).distinct().join(
         conditions.select(*keys, "k", F.struct(*conditions.columns).alias("_row")), list(keys))
     wanted = cut_lineage(wanted.withColumn("seeds", _seeds(fit_seeds)("_row", "replicate", "side")).drop("_row"))
-    fits = cut_lineage(fit_large(sampled, wanted, run_keys, rule, normalise, n_starts))
+    fits = cut_lineage(fit_large(blocks, wanted, keys, rule, normalise, draws, run_keys))
     side = {s: fits.where(F.col("side") == i).select(
         *keys, "replicate", "m", "k", F.col("w").alias(f"w_{s}"), F.col("wave").alias(f"wave_{s}"))
         for i, s in enumerate("ab")}
@@ -162,8 +164,9 @@ def _large(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str], scheme
             *keys, "m", "k", "replicate", "w_a", "wave_a", *empty, *none, "fail_reason")
     # each side's factors are projected on the other side's strides
     other = fits.where("fail_reason IS NULL").select(*keys, "replicate", (1 - F.col("side")).alias("side"), "w")
-    errors = block_errors(sampled.join(other, run_keys)).groupBy(*keys, "replicate").agg(
-        *[F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("sse", "sst")])
+    met = blocks.select(*keys, "block_id", "m", "x").join(draws.join(other, run_keys), [*keys, "block_id"])
+    errors = block_errors(met).groupBy(*keys, "replicate").agg(
+        *[F.sum(F.when(F.col("side") == s, F.col(c) * F.col("weight"))).alias(f"{c}{s}") for s in (0, 1) for c in ("sse", "sst")])
     both = side["a"].join(side["b"].drop("m", "k"), [*keys, "replicate"]).join(errors, [*keys, "replicate"], "left")
     both = both.join(why, [*keys, "replicate"])
     ok = F.col("fail_reason").isNull()
@@ -193,5 +196,5 @@ def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str]
     out = _small(tasks, keys, scheme, rule, fit_seeds, normalise)
     if has_rows(large):
         todo = conditions.join(large.select(*keys).distinct(), list(keys), "left_semi")
-        out = out.unionByName(_large(large, todo, keys, scheme, rule, fit_seeds, lo, hi, n_starts, normalise))
+        out = out.unionByName(_large(large, todo, keys, scheme, rule, fit_seeds, lo, hi, normalise))
     return out
