@@ -67,9 +67,9 @@ class Network:
             p.reshape(s) for p, s in zip(parts, _shapes(side), strict=True))
 
     def _forward(self, around: np.ndarray, word: np.ndarray):
-        h = self.bias + self.near[0][around[0]]
+        h = self.bias + np.take(self.near[0], around[0], axis=0)
         for k in range(1, 2 * REACH):
-            h += self.near[k][around[k]]
+            h += np.take(self.near[k], around[k], axis=0)
         np.tanh(h, out=h)
         c = word // self.side
         return h, h @ self.to_class + self.class_bias, h @ self.to_member + self.member_bias[c], c
@@ -88,24 +88,26 @@ class Network:
         da /= n
         db /= n
         dz = (da @ self.to_class.T + db @ self.to_member.T) * (1 - h * h)
-        member = np.zeros_like(self.member_bias)
-        order = _order(c)
-        first = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
-        member[c[order[first]]] = np.add.reduceat(db[order], first, axis=0)
-        dense = ((self.bias, past.bias, dz.sum(0)), (self.to_class, past.to_class, h.T @ da), (self.class_bias, past.class_bias, da.sum(0)),
-                 (self.to_member, past.to_member, h.T @ db), (self.member_bias, past.member_bias, member))
+        which = np.zeros_like(da)
+        which[at, c] = 1
+        one = np.ones(n, np.float32)
+        dense = ((self.bias, past.bias, one @ dz), (self.to_class, past.to_class, h.T @ da), (self.class_bias, past.class_bias, one @ da),
+                 (self.to_member, past.to_member, h.T @ db), (self.member_bias, past.member_bias, which.T @ db))
         for value, squares, grad in dense:
             squares += grad * grad
             value -= RATE * grad / (np.sqrt(squares) + 1e-6)
-        for k in range(2 * REACH):
-            order = _order(around[k])
-            rows = around[k][order]
-            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            grad = np.add.reduceat(dz[order], first, axis=0)
-            rows = rows[first]
-            squares = past.near[k][rows] + grad * grad
-            past.near[k][rows] = squares
-            self.near[k][rows] -= RATE * grad / (np.sqrt(squares) + 1e-6)
+        # the rows of all neighbours at once: place k has its own stretch of row numbers
+        places, width = self.near.shape[:2]
+        rows = (around + np.arange(places)[:, None] * width).ravel()
+        order = _order(rows)
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        grad = np.add.reduceat(np.take(dz, order % n, axis=0), first, axis=0)
+        rows = rows[first]
+        near, sums = self.near.reshape(places * width, -1), past.near.reshape(places * width, -1)
+        squares = sums[rows] + grad * grad
+        sums[rows] = squares
+        near[rows] -= RATE * grad / (np.sqrt(squares) + 1e-6)
 
 
 def _order(ids: np.ndarray) -> np.ndarray:
@@ -113,18 +115,23 @@ def _order(ids: np.ndarray) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
 
 
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Rows of ``x``, shifted if an exponential of theirs could leave the range of its type."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    np.exp(_bounded(x), out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
 def _log_share(x: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at its ``which``."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), which].astype(np.float64)
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+    own = _bounded(x)[np.arange(len(x)), which].astype(np.float64)
+    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def _hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -190,11 +197,12 @@ def shared_counts(counts: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> np
     return out
 
 
-def _neighbours(ids: np.ndarray, before: np.ndarray, edge: int) -> np.ndarray:
-    """(2 * REACH, words) ids around each word; beyond the ends of its text there is the edge."""
-    rows = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    lo, hi, at = before[:-1][rows], before[1:][rows], np.arange(len(ids))
-    out = np.full((2 * REACH, len(ids)), edge, np.int64)
+def _neighbours(ids: np.ndarray, before: np.ndarray, edge: int, at: np.ndarray | None = None) -> np.ndarray:
+    """(2 * REACH, words) ids around each word, or the words at ``at``; beyond the ends of its text there is the edge."""
+    at = np.arange(len(ids)) if at is None else at
+    rows = np.searchsorted(before, at, side="right") - 1 if len(at) < len(ids) else np.repeat(np.arange(len(before) - 1), np.diff(before))
+    lo, hi = before[:-1][rows], before[1:][rows]
+    out = np.full((2 * REACH, len(at)), edge, np.int64)
     for k, shift in enumerate([s for s in range(-REACH, REACH + 1) if s]):
         inside = (at + shift >= lo) & (at + shift < hi)
         out[k, inside] = ids[at[inside] + shift]
@@ -228,7 +236,7 @@ def _train(words, start, turn: int, rounds: int):
             for _, hashes, before in _hashes(batch.column(0)):
                 ids = _ids(hashes, words.value)
                 masked = _masked(hashes, before, turn, rounds)
-                held.append((_neighbours(ids, before, net.side ** 2)[:, masked], ids[masked]))
+                held.append((_neighbours(ids, before, net.side ** 2, masked), ids[masked]))
                 learn(BATCH)
         learn(1)
         if trained:
