@@ -160,64 +160,175 @@ def nnls_fidelity(spark, sf):
     return errors.groupBy("label").agg(r(1 - F.sum("sse") / F.sum("sst")).alias("fidelity"))
 
 
-def stage_tables(spark, sf):
-    """Blocks, extraction summary and chosen ranks, as the stages make them."""
-    b = ready_blocks(spark, sf)
-    summary = cut_lineage(extraction.extract(b))
-    return b, summary, cut_lineage(extraction.choose_rank(summary))
+SWEEPS = 2
+#: a start for every label's 64 channels and its vectors, as two columns beside each other
+_STATED = """x AS (SELECT label, vec_id, (u - 1)::INT AS i, abs(embedding[u])::DOUBLE AS v
+  FROM embeddings, range(1, 65) AS t(u)),
+w0 AS (SELECT label, i, 1 + (i * 7 % 10) / 10.0::DOUBLE AS a, 1 + ((i * 7 + 13) % 10) / 10.0::DOUBLE AS b
+  FROM (SELECT DISTINCT label FROM embeddings), range(64) AS r(i)),
+h0 AS (SELECT label, vec_id, (10 + vec_id * 3 % 7) / 500.0::DOUBLE AS a, (10 + vec_id * 4 % 7) / 500.0::DOUBLE AS b FROM embeddings)"""
+#: eps of the rules below, and how one side (o: old values, n: sums against the data, g: sums over the other side) moves
+_EPS = 1e-10
+_MOVES = {
+    "frobenius_shifted": ("o.a * n.a / (g.aa * o.a + g.ab * o.b + {e} * g.a + {e})",
+                          "o.b * n.b / (g.ab * o.a + g.bb * o.b + {e} * g.b + {e})"),
+    "kullback": ("o.a * n.a / (g.a + {e})", "o.b * n.b / (g.b + {e})"),
+    "ridge": ("greatest(o.a * (n.a / ((g.aa + {e}) * o.a + g.ab * o.b + {e})), {e})",
+              "greatest(o.b * (n.b / (g.ab * o.a + (g.bb + {e}) * o.b + {e})), {e})"),
+    "coordinate": ("CASE WHEN g.aa = 0 THEN o.a ELSE greatest(o.a - (g.aa * o.a + g.ab * o.b - n.a) / g.aa, 0) END",
+                   "CASE WHEN g.bb = 0 THEN o.b ELSE greatest(o.b - (g.ab * ({first}) + g.bb * o.b - n.b) / g.bb, 0) END")}
+
+
+def _sweeps_sql(rule: str) -> str:
+    """Whole sweeps of a rule with two modules: activations from factors, then factors from the new activations."""
+    value = f"greatest(v, {_EPS}) / (w.a * h.a + w.b * h.b + {_EPS})" if rule == "kullback" else "v"
+    first, second = (m.format(e=_EPS, first="{first}") for m in _MOVES[rule])
+    second = second.replace("{first}", first)
+    parts = [_STATED]
+
+    def side(s: str, old: str, other: str, place: str, w: str, h: str) -> None:
+        parts.append(f"""
+g{s} AS (SELECT label, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a) AS a, sum(b) AS b FROM {other} GROUP BY 1),
+n{s} AS (SELECT x.label, x.{place}, sum({other[0]}.a * {value}) AS a, sum({other[0]}.b * {value}) AS b FROM x
+  JOIN {w} w ON w.label = x.label AND w.i = x.i JOIN {h} h ON h.label = x.label AND h.vec_id = x.vec_id GROUP BY 1, 2)""")
+        name = f"{old[0]}{int(old[1:]) + 1}"
+        parts.append(f"""
+{name} AS (SELECT o.label, o.{place}, {first} AS a, {second} AS b FROM {old} o
+  JOIN n{s} n ON n.label = o.label AND n.{place} = o.{place} JOIN g{s} g ON g.label = o.label)""")
+    for k in range(SWEEPS):
+        side(f"h{k}", f"h{k}", f"w{k}", "vec_id", f"w{k}", f"h{k}")
+        side(f"w{k}", f"w{k}", f"h{k + 1}", "i", f"w{k}", f"h{k + 1}")
+    return (f"WITH {','.join(parts)} SELECT label, i::INT AS channel, m::INT AS module, round(CASE m WHEN 0 THEN a ELSE b END, 5) AS weight "
+            f"FROM w{SWEEPS}, range(2) AS t(m)")
+
+
+def _sweeps(spark, sf, rule):
+    """Factors after whole sweeps of ``rule`` over all vectors of every label, from the stated start."""
+    rows = table(spark, sf, "embeddings").select(
+        "label", "vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x)).alias("x"))
+    data = factorise.placed(rows.select("label", F.col("vec_id").alias("block_id"), F.lit(64).alias("m"), "x"), ["label"])
+    start_h = F.array(*[(10 + F.col("vec_id") * (c + 3) % 7) / 500 for c in range(2)])
+    state = rows.select("label", F.lit(2).alias("k"), F.col("vec_id").alias("block_id"), F.lit(1).alias("weight"), start_h.alias("h"))
+    start_w = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda j: 1 + ((F.floor(j / 2) * 7 + (j % 2) * 13) % 10) / 10)
+    factors = rows.select("label").distinct().select("label", F.lit(2).alias("k"), F.lit(64).alias("m"), start_w.alias("w"))
+    out, _ = factorise.iterate_large(factors, state, data, ["label"], ["label", "k"], replace(rule, eps=_EPS, max_iter=SWEEPS, tol=-1.0))
+    return out.select("label", F.posexplode("w").alias("j", "v")).select(
+        "label", F.floor(F.col("j") / 2).cast("int").alias("channel"), (F.col("j") % 2).cast("int").alias("module"), r("v", 5).alias("weight"))
+
+
+@query("nmf_sweeps_shifted", _sweeps_sql("frobenius_shifted"))
+def nmf_sweeps_shifted(spark, sf):
+    return _sweeps(spark, sf, kernels.SENSITIVITY)
+
+
+@query("nmf_sweeps_kl", _sweeps_sql("kullback"))
+def nmf_sweeps_kl(spark, sf):
+    return _sweeps(spark, sf, kernels.SENSITIVITY_KL)
 
 
-def stable_tables(spark, sf):
-    """Blocks, the stability summary and the factors of the chosen ranks."""
-    b, summary, chosen = stage_tables(spark, sf)
-    stable = cut_lineage(extraction.stability(b, chosen, summary))
-    return b, stable, cut_lineage(chosen.where("chosen_k IS NOT NULL").select(*KEY, "k", "w", "m"))
+@query("nmf_sweeps_ridge", _sweeps_sql("ridge"))
+def nmf_sweeps_ridge(spark, sf):
+    return _sweeps(spark, sf, kernels.EXTERNAL)
+
+
+@query("nmf_sweeps_coordinate", _sweeps_sql("coordinate"))
+def nmf_sweeps_coordinate(spark, sf):
+    return _sweeps(spark, sf, kernels.WITHIN)
+
+
+def stated_tables(spark, sf):
+    """Blocks, conditions and two stated modules of each: mean and deviation of every channel.
+
+    The queries below look at one stage each. They begin from these factors, so that a stage runs with its own counts
+    but without the fits of the stages before it; ``module_extraction`` is the query that fits.
+    """
+    b = ready_blocks(spark, sf)
+    long = b.select(*KEY, F.posexplode("x").alias("u", "v"))
+    profile = long.groupBy(*KEY, (F.col("u") % 8).alias("i")).agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("b"))
+    factors = profile.groupBy(*KEY).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "a", "b"))), lambda s: F.array(s["a"], s["b"]))).alias("w"))
+    factors = cut_lineage(factors.select(*KEY, F.lit(2).alias("k"), "w", F.lit(8).alias("m")))
+    stable = factors.select(*KEY, "k").join(factorise.shapes(b, KEY), KEY).withColumn("pass_stability", F.lit(True))
+    return b, cut_lineage(stable), factors
 
 
 @query("module_extraction")
 def module_extraction(spark, sf):
-    _, summary, _ = stage_tables(spark, sf)
+    summary = cut_lineage(extraction.extract(ready_blocks(spark, sf)))
     return summary.select(*KEY, "k", "m", "n_strides", "iters", "converged", "ok", "fail_reason",
                           *[r(c).alias(c) for c in ("vaf_total", "vaf_min", "vaf_median", "vaf_mean")])
 
 
 @query("consensus_stability")
 def consensus_stability(spark, sf):
-    b, summary, chosen = stage_tables(spark, sf)
-    out = extraction.stability(b, chosen, summary)
+    b, stable, factors = stated_tables(spark, sf)
+    summary = factors.join(stable.select(*KEY, "n_strides", "points"), KEY)
+    out = extraction.stability(b, factors.select(*KEY, F.col("k").alias("chosen_k")), summary)
     return out.select(*KEY, "k", "n_strides", "n_boot_success", "cophenetic", "dispersion", "w_cosine_median",
                       "w_cosine_min", "pass_stability", "fail_reason")
 
 
-@query("pairwise_fidelity")
+#: fidelity of every ordered pair of conditions (p: the condition of the factors, q: that of the data), two modules
+_PAIRS = """x AS (SELECT 'S' || (label % 2) AS subject, [500, 400, 333, 300, 278][(label // 2) % 5 + 1] AS speed, vec_id,
+    ((u - 1) // 8)::INT AS p, ((u - 1) % 8)::INT AS i, abs(embedding[u])::DOUBLE AS v FROM embeddings, range(1, 65) AS t(u)),
+w AS (SELECT subject, speed, i, avg(v) AS a, stddev_pop(v) AS b FROM x GROUP BY 1, 2, 3),
+g AS (SELECT subject, speed, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM w GROUP BY 1, 2),
+c AS (SELECT x.subject, w.speed AS p, x.speed AS q, vec_id, x.p AS at, sum(v * v) AS vv, sum(v * a) AS va, sum(v * b) AS vb
+      FROM x JOIN w ON w.subject = x.subject AND w.i = x.i AND w.speed <> x.speed GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT c.*, aa, ab, bb, (va * bb - vb * ab) / (aa * bb - ab * ab) AS ha, (vb * aa - va * ab) / (aa * bb - ab * ab) AS hb
+      FROM c JOIN g ON g.subject = c.subject AND g.speed = c.p),
+e AS (SELECT subject, p, q, vv, CASE WHEN ha >= 0 AND hb >= 0
+  THEN vv - 2 * (ha * va + hb * vb) + ha * ha * aa + 2 * ha * hb * ab + hb * hb * bb
+  ELSE vv - greatest(va * va / aa, vb * vb / bb) END AS sse FROM s),
+f AS (SELECT subject, p, q, 1 - sum(sse) / sum(vv) AS fid FROM e GROUP BY 1, 2, 3),
+n AS (SELECT subject, speed, count(DISTINCT vec_id)::INT AS n FROM x GROUP BY 1, 2)"""
+
+
+@query("pairwise_fidelity", f"""WITH {_PAIRS}
+SELECT 'vectors' AS dataset, f.subject, 0 AS trial, p / 100.0::DOUBLE AS speed_a_mps, q / 100.0::DOUBLE AS speed_b_mps, 2 AS k_a, 2 AS k_b,
+  a.n AS n_strides_a, b.n AS n_strides_b, round(fid, 6) AS fidelity_a_to_b, '' AS notes
+FROM f JOIN n a ON a.subject = f.subject AND a.speed = p JOIN n b ON b.subject = f.subject AND b.speed = q""")
 def pairwise_fidelity(spark, sf):
-    b, stable, factors = stable_tables(spark, sf)
-    return fidelity.pairwise(stable, factors, b)
+    b, stable, factors = stated_tables(spark, sf)
+    return fidelity.pairwise(stable, factors, b).withColumn("fidelity_a_to_b", r("fidelity_a_to_b"))
+
+
+@query("reference_fidelity", f"""WITH {_PAIRS},
+top AS (SELECT subject, max(speed) AS speed FROM n GROUP BY 1)
+SELECT 'vectors' AS dataset, f.subject, 0 AS trial, p / 100.0::DOUBLE AS ref_speed_mps, q / 100.0::DOUBLE AS q_speed_mps, 2 AS k_ref, 2 AS k_q,
+  a.n AS n_strides_ref, b.n AS n_strides_q, round(fid, 6) AS fidelity_ref_to_q,
+  (SELECT round(o.fid, 6) FROM f o WHERE o.subject = f.subject AND o.p = f.q AND o.q = f.p) AS fidelity_q_to_ref, '' AS notes
+FROM f JOIN top ON top.subject = f.subject AND top.speed = p JOIN n a ON a.subject = f.subject AND a.speed = p
+  JOIN n b ON b.subject = f.subject AND b.speed = q""")
+def reference_fidelity(spark, sf):
+    b, stable, factors = stated_tables(spark, sf)
+    out = fidelity.reference(stable, factors, b)
+    return out.withColumns({c: r(c) for c in ("fidelity_ref_to_q", "fidelity_q_to_ref")})
 
 
 @query("surrogate_null")
 def surrogate_null(spark, sf):
-    b, stable, factors = stable_tables(spark, sf)
+    b, stable, factors = stated_tables(spark, sf)
     fid = cut_lineage(fidelity.reference(stable, factors, b))
     return fidelity.surrogates(fid, factors, b)
 
 
 @query("module_similarity")
 def module_similarity(spark, sf):
-    b, stable, factors = stable_tables(spark, sf)
+    b, stable, factors = stated_tables(spark, sf)
     fid = cut_lineage(fidelity.reference(stable, factors, b))
     return fidelity.similarity(fid, b)
 
 
 @query("half_split_reliability")
 def half_split_reliability(spark, sf):
-    b, stable, _ = stable_tables(spark, sf)
+    b, stable, _ = stated_tables(spark, sf)
     return reliability.within_speed(stable, b)
 
 
 @query("reference_envelope")
 def reference_envelope(spark, sf):
-    b, stable, _ = stable_tables(spark, sf)
+    b, stable, _ = stated_tables(spark, sf)
     out, _ = reliability.envelope(stable, b)
     return out
 
@@ -244,14 +355,11 @@ def emg_chain(spark, sf):
 
 
 def variant_inputs(spark, sf):
-    """Bounds and null thresholds taken from the data, for every subject and tested speed."""
-    b, stable, factors = stable_tables(spark, sf)
-    group = ["dataset", "subject", "trial"]
+    """The envelope's bounds and the surrogates' null thresholds of the stated factors, with all replicates of both."""
+    b, stable, factors = stated_tables(spark, sf)
     fid = cut_lineage(fidelity.reference(stable, factors, b))
-    bounds = fid.groupBy(*group).agg(
-        F.percentile("fidelity_ref_to_q", 0.2).alias("L_ref_fidelity"), F.lit(0.5).alias("L_ref_cosine_median"),
-        F.lit(10.0).alias("U_ref_dtw_mean"), F.lit(89.0).alias("U_ref_principal_angle_max_deg"))
-    null = fid.select(*group, "q_speed_mps", (F.col("fidelity_ref_to_q") - 0.05).alias("F_null_95"))
+    null = cut_lineage(fidelity.surrogates(fid, factors, b))
+    bounds, _ = reliability.envelope(stable, b)
     return b, stable, cut_lineage(bounds), null
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import selection, statistics
+from ..operators import linkage, selection, statistics
 from ..operators.quantiles import exact_quantiles
 from ..plans import reorganisation
 from ..session import cut_lineage
@@ -156,6 +156,72 @@ def independent_t_stat(spark, sf):
                       r("cohens_d").alias("cohens_d"))
 
 
+def _linkage_sql(steps: int) -> str:
+    """The steps of average linkage over ``pairs`` (g, a, b, d): clusters ca and cb of each pair, and the height h that joined it."""
+    return f"""s AS (
+  SELECT g, a, b, d, a AS ca, b AS cb, NULL::DOUBLE AS h, 0 AS step FROM pairs
+  UNION ALL
+  SELECT g, a, b, d, na, nb, CASE WHEN h IS NULL AND na = nb THEN best.mean ELSE h END, step + 1 FROM (
+    SELECT *, CASE WHEN ca = best.hi THEN best.lo ELSE ca END AS na, CASE WHEN cb = best.hi THEN best.lo ELSE cb END AS nb FROM (
+      SELECT *, first_value({{'lo': lo, 'hi': hi, 'mean': mean}}) OVER (PARTITION BY g ORDER BY lo = hi, round(mean, 12), lo, hi) AS best FROM (
+        SELECT *, least(ca, cb) AS lo, greatest(ca, cb) AS hi, avg(d) OVER (PARTITION BY g, least(ca, cb), greatest(ca, cb)) AS mean
+        FROM s WHERE step < {steps})))),
+heights AS (SELECT g, a, b, d, h FROM s WHERE step = {steps})"""
+
+
+@query("average_linkage", f"""
+WITH RECURSIVE m AS (SELECT c_mktsegment AS g, (c_nationkey % 8)::INT AS k, avg(c_acctbal) / 10000.0::DOUBLE AS v FROM customer GROUP BY 1, 2),
+pairs AS (SELECT x.g, x.k AS a, y.k AS b, abs(x.v - y.v) AS d FROM m x JOIN m y ON x.g = y.g AND x.k < y.k),
+{_linkage_sql(7)}
+SELECT g, a, b, round(h, 6) AS height FROM heights
+""")
+def average_linkage(spark, sf):
+    """Groups of nations of every market segment, by the distance of their mean balances."""
+    mean = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("g"), (F.col("c_nationkey") % 8).cast("int").alias("k")).agg(
+        (F.avg("c_acctbal").cast("double") / 10000).alias("v"))
+    pairs = mean.select("g", F.col("k").alias("a"), F.col("v").alias("x")).join(
+        mean.select("g", F.col("k").alias("b"), F.col("v").alias("y")), "g").where("a < b").select("g", "a", "b", F.abs(F.col("x") - F.col("y")).alias("d"))
+    return linkage.cophenetic_heights(pairs, ["g"]).select("g", "a", "b", r("height").alias("height"))
+
+
+@query("consensus_quality", f"""
+WITH RECURSIVE n AS (SELECT o_orderstatus AS g, year(o_orderdate) AS run, (c_nationkey % 8)::INT AS k, o_orderpriority AS p, count(*) AS c
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3, 4),
+l AS (SELECT g, run, k, p FROM n QUALIFY row_number() OVER (PARTITION BY g, run, k ORDER BY c DESC, p) = 1),
+shares AS (SELECT x.g, x.k AS a, y.k AS b, avg((x.p = y.p)::INT) AS c FROM l x JOIN l y ON x.g = y.g AND x.run = y.run AND x.k < y.k GROUP BY 1, 2, 3),
+pairs AS (SELECT g, a, b, 1 - c AS d FROM shares),
+{_linkage_sql(7)},
+q AS (SELECT g, avg(4 * (c - 0.5) * (c - 0.5)) AS dispersion, stddev_pop(c) AS sd FROM shares GROUP BY 1)
+SELECT g, round(CASE WHEN sd >= 1e-12 THEN (SELECT corr(d, h) FROM heights t WHERE t.g = q.g) WHEN dispersion > 0.95 THEN 1
+  WHEN dispersion < 0.05 THEN 0 END, 6) AS cophenetic, round(dispersion, 6) AS dispersion FROM q
+""")
+def consensus_quality(spark, sf):
+    """How far years agree on which nations share their most frequent order priority."""
+    orders = table(spark, sf, "orders").select("o_custkey", F.col("o_orderstatus").alias("g"), F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("p"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") % 8).cast("int").alias("k"))
+    counts = orders.join(customers, "o_custkey").groupBy("g", "run", "k", "p").agg(F.count("*").alias("c"))
+    labels = counts.groupBy("g", "run", "k").agg(F.min_by("p", F.struct(-F.col("c"), "p")).alias("p"))
+    both = labels.withColumnsRenamed({"k": "a", "p": "pa"}).join(labels.withColumnsRenamed({"k": "b", "p": "pb"}), ["g", "run"]).where("a < b")
+    shares = both.groupBy("g", "a", "b").agg(F.avg((F.col("pa") == F.col("pb")).cast("int")).alias("c"))
+    return linkage.consensus_quality(shares, ["g"]).select("g", r("cophenetic").alias("cophenetic"), r("dispersion").alias("dispersion"))
+
+
+# two samples of every nation: an even number of degrees of freedom, so the tails are a finite sum
+@query("independent_t_p", f"""
+WITH {PANEL}, s AS (SELECT avg(drop) FILTER (WHERE transition = '1-URGENT') AS ma, avg(drop) FILTER (WHERE transition = '5-LOW') AS mb,
+  var_samp(drop) FILTER (WHERE transition = '1-URGENT') AS va, var_samp(drop) FILTER (WHERE transition = '5-LOW') AS vb,
+  count(*) FILTER (WHERE transition = '1-URGENT') AS na, count(*) FILTER (WHERE transition = '5-LOW') AS nb FROM p),
+t AS (SELECT na, nb, na + nb - 2 AS nu, abs(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS t,
+  (ma - mb) / sqrt((va + vb) / 2) AS d FROM s)
+SELECT na AS n_a, nb AS n_b, round(d, 6) AS cohens_d, round(CASE WHEN nu % 2 = 1 THEN error('odd')::DOUBLE ELSE
+  1 - t / sqrt(nu + t * t) * list_sum(list_transform(range(nu // 2), lambda j:
+    coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2 * i - 1)::DOUBLE / (2 * i))), 1) * pow(nu / (nu + t * t), j))) END, 6) AS p FROM t
+""")
+def independent_t_p(spark, sf):
+    out = statistics.independent_t(panel(spark, sf), "transition", "1-URGENT", "5-LOW", "drop")
+    return out.select("n_a", "n_b", r("cohens_d").alias("cohens_d"), r("p").alias("p"))
+
+
 def status_panel(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
     wide = orders.groupBy("o_custkey").pivot("o_orderstatus", ["O", "F", "P"]).agg(F.avg("o_totalprice"))

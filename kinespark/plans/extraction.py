@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.keys import seed32, speed_tag, trial_tag, truthy
 from ..operators import factorise, resample
+from ..operators.linkage import consensus_quality
 from ..operators.matrices import TASK_CELLS, as_matrix, vector_sum
 from ..operators.selection import select_rank, top_row
 
@@ -82,16 +83,6 @@ def _agreement(w: pd.Series, w_ref: pd.Series, m: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["labels", "cosines"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("cophenetic", T.DoubleType()), T.StructField("dispersion", T.DoubleType())]))
-def _quality(consensus: pd.Series, m: pd.Series) -> pd.DataFrame:
-    rows = []
-    for ci, mi in zip(consensus, m):
-        C = as_matrix(ci, mi).copy()
-        C[range(int(mi)), range(int(mi))] = 1.0
-        rows.append([v if v == v else None for v in kernels.consensus_quality(C)])
-    return pd.DataFrame(rows, columns=["cophenetic", "dispersion"], dtype=float)
-
-
 def _boot_seeds(n_starts: int):
     def seeds(row, replicate, side):
         return [SEED_BASE + resample.text_seed(f"{row.seed_text}|boot|{replicate}|{j}") for j in range(n_starts)]
@@ -126,8 +117,10 @@ def stability(blocks: DataFrame, chosen: DataFrame, summary: DataFrame, n_boot:
         *KEY, "m", _agreement("w_a", "w_ref", "m").alias("_a")).select(*KEY, "m", "_a.*")
     n = scored.groupBy(*KEY).agg(F.count("*").alias("n_boot_success"), F.first("m").alias("m"))
     links = vector_sum(scored, KEY, "labels", "_c").join(n, KEY)
-    quality = links.select(*KEY, "n_boot_success", _quality(F.transform(
-        "_c", lambda v: v / F.col("n_boot_success")), "m").alias("_q")).select(*KEY, "n_boot_success", "_q.*")
+    shares = links.select(*KEY, "n_boot_success", "m", F.posexplode("_c").alias("_i", "_v")).select(
+        *KEY, F.floor(F.col("_i") / F.col("m")).cast("int").alias("a"), (F.col("_i") % F.col("m")).alias("b"),
+        (F.col("_v") / F.col("n_boot_success")).alias("c")).where("a < b")
+    quality = n.select(*KEY, "n_boot_success").join(consensus_quality(shares, KEY), KEY, "left")
     # a condition has n_boot times k cosines, so the built-in percentile is small
     cos = scored.select(*KEY, F.explode("cosines").alias("c")).groupBy(*KEY).agg(
         F.median("c").alias("w_cosine_median"), F.min("c").alias("w_cosine_min"))

@@ -6,13 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.keys import truthy
-from ..functions.signal import block_length
+from ..functions.signal import block_length, let
 from ..operators import factorise, resample, statistics
 from ..operators.joins import remaining
 from ..operators.matrices import TASK_CELLS, as_columns, compare_modules, has_rows
@@ -70,12 +70,36 @@ def within_speed(stable: DataFrame, blocks: DataFrame, n_boot: int = WITHIN_BOOT
         F.coalesce("n_boot_success", F.lit(0)).alias("n_boot_success"), "within_fid_mean", "within_fid_q10", "notes")
 
 
-def _bound(q: float, side: str, draws: int):
-    @F.pandas_udf(T.StructType([T.StructField("est", T.DoubleType()), T.StructField("bound", T.DoubleType())]))
-    def run(values: pd.Series, seed: pd.Series) -> pd.DataFrame:
-        rows = [kernels.quantile_bound(v, q, side, draws, int(s)) for v, s in zip(values, seed)]
-        return pd.DataFrame(rows, columns=["est", "bound"], dtype=float)
-    return run
+def quantile_bound(values: Column, q: float, side: str, draws: int, seed: Column, alpha: float = 0.05, least: int = 20) -> Column:
+    """(est, bound): quantile ``q`` of an array, and the one-sided bound of its bootstrap distribution.
+
+    Entries that are null or not finite do not count; both are null if fewer than ``least`` are left.
+    """
+    level = {"lower": alpha, "upper": 1 - alpha}[side]
+
+    @F.pandas_udf(T.DoubleType())
+    def limit(v: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([np.quantile(kernels.resampled_quantiles(np.asarray(a, dtype=float), q, draws, int(i)), level) if len(a) else None
+                          for a, i in zip(v, s)], dtype=float)
+
+    def both(v: Column) -> Column:
+        place = (F.size(v) - 1) * q
+        low = F.floor(place).cast("int")
+        est = F.get(v, low) + (place - low) * (F.coalesce(F.get(v, low + 1), F.get(v, low)) - F.get(v, low))
+        enough = F.size(v) >= least
+        return F.struct(F.when(enough, est).alias("est"), F.when(enough, limit(v, seed)).alias("bound"))
+    return both(F.array_sort(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))))
+
+
+def held_block_length(estimate: Column, n: Column) -> Column:
+    """Stride block length from its estimate: at least 3, at most an eighth of ``n`` strides, and four blocks of it if ``n`` allows.
+
+    Without an estimate it is a tenth of the strides.
+    """
+    def part(of: int) -> Column:
+        return F.greatest(F.lit(3), F.floor(n / of).cast("int"))
+    wanted = F.least(F.coalesce(F.rint(estimate).cast("int"), part(10)), part(8))
+    return let(F.greatest(F.lit(3), wanted), lambda b: F.when(n >= 4 * b, b).otherwise(part(4)))
 
 
 def envelope_blocks(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
@@ -88,9 +112,10 @@ def envelope_blocks(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
     def first_mean(x: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([as_columns(xi, mi)[0].mean() for xi, mi in zip(x, m)])
 
-    @F.pandas_udf(T.IntegerType())
+    @F.pandas_udf(T.DoubleType())
     def from_lags(sums: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([kernels.envelope_block_length(np.stack(v), int(k)) for v, k in zip(sums, n)], dtype="int32")
+        out = [kernels.optimal_block_length(np.stack(v), int(k)) for v, k in zip(sums, n)]
+        return pd.Series([v if np.isfinite(v) else None for v in out], dtype=float)
 
     means = cut_lineage(blocks.select(*KEY, "block_id", first_mean("x", "m").alias("v")))  # one number per stride
     sizes = means.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("v").alias("_mean"))
@@ -104,7 +129,7 @@ def envelope_blocks(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
         F.array(F.sum(F.col("e") * F.col("b")), F.sum(F.col("e") * F.col("e")), F.sum(F.col("b") * F.col("b"))).alias("s"))
     table = lags.groupBy(*KEY, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("lag", "s"))), lambda s: s["s"]).alias("_s"))
-    return table.select(*KEY, from_lags("_s", "n").alias("block"))
+    return table.select(*KEY, held_block_length(from_lags("_s", "n"), F.col("n")).alias("block"))
 
 
 def envelope(stable: DataFrame, blocks: DataFrame, n_boot: int = ENVELOPE_BOOT, n_ci: int = ENVELOPE_CI,
@@ -153,11 +178,11 @@ def envelope(stable: DataFrame, blocks: DataFrame, n_boot: int = ENVELOPE_BOOT,
         *[F.transform(F.array_sort(F.collect_list(F.struct("replicate", F.col(c).alias("v")))),
                       lambda s: s["v"]).alias(n)
           for n, c in (("cos", "cosine_median"), ("dtw", "dtw_mean"), ("ang", "principal_angle_max_deg"))])
-    low, high = _bound(1 - COVERAGE, "lower", n_ci), _bound(COVERAGE, "upper", n_ci)
     table = rows.join(dist, KEY, "left")
-    for i, (n, f) in enumerate((("fid", low), ("cos", low), ("dtw", high), ("ang", high))):
+    low, high = (1 - COVERAGE, "lower"), (COVERAGE, "upper")
+    for i, (n, (q, end)) in enumerate((("fid", low), ("cos", low), ("dtw", high), ("ang", high))):
         values = F.coalesce(F.col(n), F.array().cast("array<double>"))
-        table = table.withColumn(f"_{n}", f(values, F.col("draw_seed") + 101 + i))
+        table = table.withColumn(f"_{n}", quantile_bound(values, q, end, n_ci, F.col("draw_seed") + 101 + i))
     got = F.coalesce(F.col("N_boot_success"), F.lit(0))
     half = F.floor(F.col("n_strides") / 2).cast("int")
     bad = reduce(lambda a, b: a | b, [F.col(f"_{n}.bound").isNull() for n in ("fid", "cos", "dtw", "ang")])
