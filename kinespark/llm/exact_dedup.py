@@ -47,7 +47,8 @@ def decisions(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) -> D
     groups = units.groupBy("sha").agg(F.max(order).alias("best"), F.sum("copies").alias("group_size"))
     groups = groups.select("sha", F.col("best.n").alias("_n"), F.col("best.doc_id").alias("keep_id"), "group_size")
     best = (F.col("n") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    placed = units.join(groups, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # one narrow row for each text: broadcast where that is bounded, so that a hot text stays spread over its units
+    placed = units.join(bounded(cut(groups)), "sha").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     placed = placed.select("doc_id", "n", "sha", "keep_id", "group_size", (best & (F.col("copy") == 1)).alias("kept"))
     return placed.unionByName(rows.where("not shared").select(
         "doc_id", "n", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -55,31 +56,31 @@ def decisions(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) -> D
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Rows leave by (doc_id, code points, text hash). Identical repeated rows are told apart by a number within
-    their key, which only the keys that repeat need.
+    Rows leave by (doc_id, code points, text hash), as ``decisions`` says: null and empty texts are equal, ties go to the
+    smallest doc_id, null last. Identical repeated rows, and rows that differ in other columns only, are told apart by
+    one of them at will, which only the keys that repeat need. Long texts are hashed whole; an empty table stays empty.
     """
-    found = decisions(docs).where("sha is not null")
+    found = decisions(docs.select("doc_id", "text")).where("sha is not null")
     gone = found.groupBy("doc_id", "n", "sha").agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_stay"))
     gone = cut(gone.where("_stay < _rows"))
     whole = gone.where("_stay = 0").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("sha").alias("_sha"))
     once = gone.where("_stay > 0").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("sha").alias("_sha"))
+    rest = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
 
     def same(keys: DataFrame):
         return (F.col("doc_id").eqNullSafe(keys["_id"]) & (F.char_length(text) == keys["_n"])
                 & (F.unhex(F.sha2(dense(F.col("text")), 256)) == keys["_sha"]))
-    rest = docs
     if not whole.isEmpty():
         keys = bounded(whole)
         rest = rest.join(keys, same(keys), "left_anti")
-    if once.isEmpty():
-        return rest
-    keys = bounded(once)
-    repeated = rest.join(keys, same(keys), "left_semi")
-    first = repeated.withColumn("_sha", F.sha2(dense(F.col("text")), 256)).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return rest.join(keys, same(keys), "left_anti").unionByName(first)
+    if not once.isEmpty():
+        keys = bounded(once)
+        first = rest.join(keys, same(keys)).groupBy("_id", "_n", "_sha").agg(F.first("row").alias("row"))
+        rest = rest.join(keys, same(keys), "left_anti").select("row").unionByName(first.select("row"))
+    return rest.select("row.*")
 
 
 @query("op6_exact_dedup", r"""

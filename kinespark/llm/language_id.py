@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, query, table
+from .common import appended, cut, query, table
 from .text import mix, string_chunks
 
 #: different texts of a language that the model is fitted on, on average at most (chosen by a hash of the text)
@@ -200,8 +200,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     with score 0. Rows are independent of each other; an empty table gives an empty table.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "_lower")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at, docs, schema = appended(docs, "text", {"lang_pred": T.StringType(), "score": T.DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
@@ -220,16 +219,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score[first:first + count] = np.where(some, 1 / share.sum(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)],
                                              names=schema.names)
-    return docs.withColumn("_lower", F.lower("text")).mapInArrow(run, schema)
+    return docs.withColumn("lower", F.lower(docs.columns[at])).mapInArrow(run, schema)
 
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told, by a model of their labelled rows; ``und`` rows go.
 
-    All columns stay as they are, whatever their names.
+    All columns stay as they are, whatever their names. Null, empty and letterless texts are ``und``; ties of languages go to
+    the first by code point, which keeps the row. Rows are judged alone: repeated ones stay or go together, long texts are
+    read whole, an empty table stays empty. Without any labelled word every row goes.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    packed = docs.select(F.struct("*").alias("_row"), "text")
     return identify(packed, model).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 

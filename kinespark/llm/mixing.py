@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, query, table, words_in
+from .merkle import numbered
 
 #: fixed values: weights by rank of the source, and how often a document may be taken
 WEIGHTS = (5, 2, 1)
@@ -98,23 +99,33 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns.
+    """The rows of ``docs`` as often as the mix takes them, with their columns, whatever their names.
 
-    Decisions are counts for each (doc_id, source, size); documents find theirs by these keys, and of repeated rows
-    each gets the share of its number among them.
+    Decisions are counts for each (doc_id, source, size); documents find theirs by these keys. Keys of one document, nearly
+    all, take one join. Documents that share a key, repeated rows among them, are numbered by text, and each gets the
+    share of its number; a key may have any number of them, null doc_ids too. Null and empty texts have no words and stay or go as
+    any other document of their size, long ones count whole. An empty table stays empty.
     """
-    found = mix(docs, weights, most, seed)
-    found = found.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    found = found.toDF("_id", "_source", "_size", "_copies")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", words_in(F.col("text")).alias("_words"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                       & (F.col("_words") == F.col("_size")))
-    several = F.size("_copies") > 1
-    alone = joined.where(~several).withColumn("_n", F.element_at("_copies", 1))
-    number = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    repeated = joined.where(several).withColumn("_n", F.element_at("_copies", number))
-    taken = alone.unionByName(repeated).where("_n > 0")
-    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
+    found = mix(docs, weights, most, seed).groupBy("doc_id", "source", "size", "copies").agg(F.count("*").alias("c"))
+    found = found.groupBy("doc_id", "source", "size").agg(
+        F.sum("c").alias("_rows"), F.sort_array(F.collect_list(F.struct("copies", "c")), asc=False).alias("_shares"))
+    found = cut(found.toDF("_id", "_source", "_size", "_rows", "_shares"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", words_in(F.col("text")).alias("_words"))
+
+    def met(keys: DataFrame) -> DataFrame:
+        keys = bounded(keys)
+        return rows.join(keys, F.col("doc_id").eqNullSafe(keys["_id"]) & F.col("source").eqNullSafe(keys["_source"])
+                         & (F.col("_words") == keys["_size"]))
+    one = F.col("_shares")[0]["copies"]
+    taken = met(found.where((F.col("_rows") == 1) & (one > 0))).select("row", one.alias("_n"))
+    several = found.where("_rows > 1")
+    if not several.isEmpty():
+        placed = numbered(met(several).select("row", "text", "_id", "_source", "_size", "_shares"), ["_id", "_source", "_size"], ["text"])
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("copies"))
+        pick = F.aggregate("_shares", start, lambda a, s: F.struct(
+            (a["seen"] + s["c"]).alias("seen"), F.coalesce(a["copies"], F.when(F.col("rank") < a["seen"] + s["c"], s["copies"])).alias("copies")))
+        taken = taken.unionByName(placed.select("row", pick["copies"].alias("_n")).where("_n > 0"))
+    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("row.*")
 
 
 @query("op3_mixing", r"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Automaton, compile_rules
-from .common import query, table
+from .common import appended, query, table
 from .text import string_chunks
 
 
@@ -109,12 +109,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     """``docs`` (text; other columns stay) with ``spans``: kind, start, end (code points, end exclusive) and text.
 
     Spans are ordered by start, then by the order of the rules. Null and empty texts have none. A column of ``docs``
-    named ``spans`` is replaced. Rows are independent: repeated rows give repeated results, an empty table an empty one.
+    named ``spans`` is replaced, others of any name stay. Rows are independent: repeated rows give repeated results, an empty
+    table an empty one. Long texts are scanned whole, stretch by stretch.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
-    docs = docs.drop("spans")
-    schema = docs.schema
-    at = schema.names.index("text")
+    at, docs, schema = appended(docs, "text", {"spans": SPANS.dataType})
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +122,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
             for first, _, data, offsets in string_chunks(batch.column(at)):
                 for r, found in scanner.value.chunk(data, offsets):
                     spans[first + r] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=schema.names)
 
-    return docs.mapInArrow(scan, T.StructType([*schema.fields, SPANS]))
+    return docs.mapInArrow(scan, schema)
 
 
 @query("op1_secret_scan")

@@ -65,8 +65,9 @@ def write_shards(docs: DataFrame, keys: list[str], shards: list[str], path: str,
 
     Rows are dealt by (shard, hash of the row), so that a shard with a hot key is still written by ``files`` tasks.
     """
-    rows = placed(docs, keys, shards).withColumn("_file", F.pmod(F.xxhash64(*docs.columns), F.lit(files)))
-    rows = rows.repartition(max(1, len(shards) * files), "shard", "_file").drop("_file", "slot")
+    whole = F.xxhash64(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
+    rows = placed(docs, keys, shards).withColumn(file := "_file" + "_" * max(map(len, docs.columns)), F.pmod(whole, F.lit(files)))
+    rows = rows.repartition(max(1, len(shards) * files), "shard", file).drop(file, "slot")
     rows.write.partitionBy("shard").mode("overwrite").parquet(path)
 
 

@@ -102,7 +102,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
         starts, ends, words = word_bounds(data, offsets)
         h = word_hashes(data, starts, ends)
         rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
-        for j in range(width):
+        for j in range(width if len(rolled) else 0):  # a stretch may have fewer words than a shingle
             rolled = rolled * factor + h[j:len(h) - width + 1 + j]
         rolled = mix(rolled + np.uint64(width))
         for i in range(count):
