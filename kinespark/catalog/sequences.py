@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changepoint, contacts, quantiles, selection
+from ..operators import changepoint, contacts, draws, intervals, quantiles, selection
 from . import query, table
 from .relational import r
 
@@ -271,3 +271,44 @@ def participant_index(spark, sf):
                                                F.floor(F.col("c_custkey") / 500).alias("chunk"))
     numbered = row_numbers(rows, ["c_mktsegment"], ["c_custkey"], "rn", chunk="chunk")
     return numbered.select("c_custkey", "c_mktsegment", (F.col("rn") - 1).alias("idx"))
+
+
+@query("interval_sums", """
+WITH w AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + 21600000000 AS b FROM events WHERE event_type = 'error')
+SELECT w.event_id, count(*) AS n, round(sum(e.value), 4) AS total
+FROM w JOIN events e ON e.user_id = w.user_id AND epoch_us(e.ts) >= a AND epoch_us(e.ts) < b GROUP BY 1
+""")
+def interval_sums(spark, sf):
+    """What a user does in the six hours after an error: events and windows meet by hour."""
+    events = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    windows = events.where("event_type = 'error'").select(
+        "user_id", F.col("event_id").alias("window_id"), F.col("at").alias("a"), (F.col("at") + 21_600_000_000).alias("b"))
+    met = intervals.interval_join(events.select("user_id", "at", "value"), windows, ["user_id"], "at", "a", "b", 3_600_000_000)
+    return met.groupBy(F.col("window_id").alias("event_id")).agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+
+
+@query("window_sums", """
+WITH w AS (SELECT vec_id, embedding, k, (vec_id * 7 + k * 13) % 60 AS a, (vec_id * 7 + k * 13) % 60 + (vec_id + k * 17) % 50 AS b
+  FROM embeddings, range(3) AS t(k))
+SELECT vec_id, k::INT AS k, least(b, 64) - a AS n, round(list_sum(list_transform(embedding[a + 1:b], lambda v: v::DOUBLE * v::DOUBLE)), 6) AS total
+FROM w WHERE b > a
+""")
+def window_sums(spark, sf):
+    """Sums of squares in windows of signals that are cut into chunks of ten samples."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    windows = rows.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    a = (F.col("vec_id") * 7 + F.col("k") * 13) % 60
+    windows = windows.select("vec_id", "k", a.alias("a"), (a + (F.col("vec_id") + F.col("k") * 17) % 50).alias("b"))
+    sums = intervals.window_sums(intervals.chunked(rows, ["vec_id"], "v", 10), windows, ["vec_id"], ["k"], 10, lambda v: v * v)
+    return sums.select("vec_id", "k", "n", r("total").alias("total"))
+
+
+@query("draw_sizes", """
+SELECT l_suppkey, least(40, count(*))::BIGINT AS n_drawn FROM lineitem GROUP BY 1
+""")
+def draw_sizes(spark, sf):
+    """Forty order lines of every supplier, drawn without replacement."""
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    sizes = rows.select("l_suppkey").distinct().withColumn("size", F.lit(40))
+    picked = draws.drawn(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber"], sizes, F.lit(5))
+    return picked.groupBy("l_suppkey").agg(F.count("*").alias("n_drawn"))

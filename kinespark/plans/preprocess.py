@@ -14,6 +14,8 @@ from ..config import Config, Preprocess
 from ..functions import kernels, signal
 from ..functions.keys import condition_speed, speed_key, speed_suffix
 from ..operators import contacts as steps
+from ..operators.draws import drawn
+from ..operators.intervals import chunked, window_sums
 from ..operators.joins import nearest_lookup, shifted_channels
 from ..operators.quantiles import drift_union, duration_screen
 from ..operators.segments import row_numbers
@@ -25,6 +27,8 @@ TRIAL = ["subject", "speed_key", "fs"]
 FORCE = ("Force.Fz1", "Force.Fz2")
 EARLY, LATE = "Tibialis", "Sol"
 UNUSABLE_SCORE = 1e9
+# samples of a chunk of a signal
+CHUNK = 1 << 14
 
 DOUBLES = T.ArrayType(T.DoubleType())
 EMG_FIELDS = T.StructType([
@@ -202,31 +206,27 @@ def signal_to_noise(emg: DataFrame, windows: DataFrame, config: Config) -> DataF
     s, eps = config.stride, config.preprocess.snr_eps
     pre, end = (F.bround(F.lit(v) * F.col("fs")).cast("int") for v in (s.baseline_pre_s, s.baseline_end_s))
     usable = windows.where((F.col("toe") > F.col("a")) & (F.col("a") - pre >= 0))
-
-    def ratio(w: Column) -> Column:
-        base = _piece("filtered", w["a"] - pre, w["a"] - end)
-        return signal.rms(_piece("filtered", w["a"], w["toe"])) / (signal.rms(base) + eps)
-
-    rows = _segments(emg.select(*TRIAL, "muscle", "filtered"), usable, TRIAL, ratio)
+    both = usable.select(*TRIAL, F.col("a").alias("stride"), F.explode(F.array(
+        F.struct(F.lit(True).alias("active"), F.col("a").alias("a"), F.col("toe").alias("b")),
+        F.struct(F.lit(False).alias("active"), (F.col("a") - pre).alias("a"), (F.col("a") - end).alias("b")))).alias("_w")).select(
+        *TRIAL, "stride", "_w.*")
+    chunks = chunked(emg, [*TRIAL, "muscle"], "filtered", CHUNK)
+    sums = window_sums(chunks, both, TRIAL, ["stride", "active"], CHUNK, lambda v: v * v, signal=["muscle"])
+    level = F.sqrt(F.col("total") / F.col("n"))
+    ratios = sums.groupBy(*TRIAL, "muscle", "stride").agg(
+        (F.max(F.when(F.col("active"), level)) / (F.max(F.when(~F.col("active"), level)) + eps)).alias("snr"))
     # one number per stride of a trial
-    return rows.select(*TRIAL, "muscle", F.explode("_out").alias("snr")).groupBy(*TRIAL, "muscle").agg(
-        F.median("snr").alias("snr_median"))
+    return ratios.groupBy(*TRIAL, "muscle").agg(F.median("snr").alias("snr_median"))
 
 
-def matched_strides(counts: DataFrame, seed: int) -> DataFrame:
-    """Strides kept per trial so that all speeds of a subject have equally many.
-
-    One generator runs through a subject's speeds in ascending order, so the
-    subject's few (speed, count) rows are handled together.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, out = np.random.default_rng(seed), []
-        pdf = pdf.sort_values("speed_key")
-        for key, n in zip(pdf["speed_key"], pdf["n"]):
-            keep = np.sort(rng.choice(int(n), size=int(pdf["n"].min()), replace=False))
-            out += [(pdf["subject"].iloc[0], key, int(i), j) for j, i in enumerate(keep)]
-        return pd.DataFrame(out, columns=["subject", "speed_key", "stride_idx", "matched_idx"])
-    return counts.groupBy("subject").applyInPandas(run, "subject INT, speed_key INT, stride_idx BIGINT, matched_idx BIGINT")
+def matched_strides(strides: DataFrame, seed: int) -> DataFrame:
+    """Strides (subject, speed_key, stride_idx) kept so that all speeds of a subject have equally many, with ``matched_idx``."""
+    key = ["subject", "speed_key"]
+    counts = strides.groupBy(*key).agg(F.count("*").alias("n"))
+    sizes = counts.join(counts.groupBy("subject").agg(F.min("n").alias("size")), "subject").select(*key, "size")
+    kept = drawn(strides.select(*key, "stride_idx"), key, ["stride_idx"], sizes, F.lit(seed))
+    placed = row_numbers(kept.withColumn("_chunk", F.floor(F.col("stride_idx") / 10_000)), key, ["stride_idx"], "_rn", "_chunk")
+    return placed.select(*key, F.col("stride_idx").cast("bigint").alias("stride_idx"), (F.col("_rn") - 1).alias("matched_idx"))
 
 
 def preprocess(signals: DataFrame, channel_map: DataFrame, config: Config = Config(),
@@ -305,8 +305,7 @@ def preprocess(signals: DataFrame, channel_map: DataFrame, config: Config = Conf
         signal.time_normalise(_piece("env", w["a"], w["b"]), s.time_norm_len), "ref_peak"))
     name = F.concat(F.lit("Sub_"), F.format_string("%02d", F.col("subject")))
     full = cut_lineage(shaped.select("subject", "speed_key", "muscle", "muscle_idx", F.posexplode("_out").alias("stride_idx", "values")))
-    counts = full.where("muscle_idx = 0").groupBy("subject", "speed_key").agg(F.count("*").alias("n"))
-    keep = matched_strides(counts, s.match_seed)
+    keep = matched_strides(full.where("muscle_idx = 0").select("subject", "speed_key", "stride_idx"), s.match_seed)
 
     def named(df: DataFrame, idx: str) -> DataFrame:
         return df.select(F.lit(dataset).alias("dataset"), name.alias("subject"), F.lit(0).alias("trial"), "speed_key",

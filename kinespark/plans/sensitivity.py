@@ -5,17 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.keys import clean_floats, speed_key, truthy
 from ..operators import factorise, statistics
+from ..operators.draws import drawn
 from ..operators.matrices import TASK_CELLS, compare_modules, cross_fidelity
 from ..operators.selection import floors as reduce_floors
+from ..operators.segments import row_numbers
 from ..operators.selection import sequential_gates
 from ..session import cut_lineage
 from .extraction import KEY
@@ -48,17 +47,12 @@ VARIANTS = (
 
 def subsample(blocks: DataFrame, fraction: float, reference_key: int) -> DataFrame:
     """Keep a seeded share of each condition's strides (at least one), renumbered in order."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def chosen(n: pd.Series, is_ref: pd.Series) -> pd.Series:
-        out = []
-        for ni, ref in zip(n, is_ref):
-            rng = np.random.default_rng(SEED if ref else SEED + STRIDE_SEED_SHIFT)
-            out.append(np.sort(rng.choice(int(ni), max(1, int(ni * fraction)), replace=False)))
-        return pd.Series(out)
-
-    counts = blocks.groupBy(*KEY).agg(F.count("*").alias("n"))
-    picks = counts.select(*KEY, F.posexplode(chosen("n", F.col("speed_key") == reference_key)).alias("_new", "block_id"))
-    return blocks.join(picks, [*KEY, "block_id"]).select(*KEY, F.col("_new").cast("bigint").alias("block_id"), "m", "x")
+    sizes = blocks.groupBy(*KEY).agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("size"))
+    seed = F.when(F.col("speed_key") == reference_key, F.lit(SEED)).otherwise(F.lit(SEED + STRIDE_SEED_SHIFT))
+    picks = drawn(blocks.select(*KEY, "block_id"), KEY, ["block_id"], sizes, seed)
+    placed = row_numbers(picks.withColumn("_chunk", F.floor(F.col("block_id") / 10_000)), KEY, ["block_id"], "_rn", "_chunk")
+    picks = placed.select(*KEY, "block_id", (F.col("_rn") - 1).cast("bigint").alias("_new"))
+    return blocks.join(picks, [*KEY, "block_id"]).select(*KEY, F.col("_new").alias("block_id"), "m", "x")
 
 
 def own_maximum(blocks: DataFrame, floor: float = 1e-10) -> DataFrame:
