@@ -21,8 +21,8 @@ from .session import build_session, cut_lineage
 from .sinks import tables as sinks
 from .functions.keys import speed_key
 from .sources import npz
-from .sources.files import read_manifest
-from .sources.tables import read_csv
+from .sources.files import read_manifest, read_table
+from .sources.tables import read_csv, read_signal_text
 
 FAILED, UNUSABLE = 1, 2
 REGISTRY = "dataset string, subject string, trial double, speed_mps double, file_matched_resolved string, file_matched string"
@@ -35,7 +35,7 @@ class Run:
         self.spark, self.args = spark, args
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{config.input_root(self.args.input)}/{name}")
+        return read_table(self.spark, config.input_roots(self.args.input), name)
 
     def read_result(self, name: str) -> DataFrame | None:
         """What an earlier run of the stage wrote, if any."""
@@ -232,9 +232,12 @@ def run_verify_releases(run: Run) -> int:
 
 
 def run_pack_archives(run: Run) -> int:
-    """Archived condition matrices, found through the registry, into the block table all later stages read."""
+    """Archived condition matrices and signal text (.dat), found through the registry, into the block table of all later stages."""
     registry = read_csv(run.spark, run.args.params, REGISTRY)
-    blocks = npz.read_blocks(run.spark, run.args.input)
+    columns = ["path", "block_id", "m", "x"]
+    points = run.args.n or config.load_config().stride.time_norm_len
+    blocks = npz.read_blocks(run.spark, run.args.input).select(*columns).unionByName(
+        read_signal_text(run.spark, run.args.input, points).select(*columns))
     local = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     paths = npz.resolve_inputs(registry, blocks.select("path").distinct()).where("input_path IS NOT NULL").select(
         "dataset", "subject", F.col("trial").cast("int").alias("trial"), speed_key("speed_mps").alias("speed_key"), "input_path")
@@ -260,7 +263,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True, help="folder of output tables")
     p.add_argument("--params", help="YAML parameters (preprocess) or manifest CSV (verify)")
     p.add_argument("--dataset", help="restrict to one dataset")
-    p.add_argument("--n", type=int, help="surrogates, replicates or grid points")
+    p.add_argument("--n", type=int, help="surrogates, replicates or grid points; points of a stride in signal text")
     p.add_argument("--starts", type=int, help="starts of a fit")
     p.add_argument("--seed", type=int, help="seed of the draws")
     p.add_argument("--muscles", help="channel names in order, joined by ';' (wide module table)")

@@ -81,6 +81,7 @@ def load_config(path: str | None = None) -> Config:
     return Config(_section(Preprocess(), raw.get("preprocess")), _section(Stride(), raw.get("stride")), muscles)
 
 
-def input_root(default: str) -> str:
-    """Folder upstream tables are read from."""
-    return os.environ.get("UPSTREAM_PATH") or default
+def input_roots(default: str) -> list[str]:
+    """Folders upstream tables are read from, the first that holds a partition first; ``UPSTREAM_PATH`` names them, joined by ';'."""
+    given = [r for r in (os.environ.get("UPSTREAM_PATH") or "").split(";") if r]
+    return [*given, default] if len(given) > 1 else given or [default]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,43 @@ def _hash_by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                          names=["file", "sha256", "size_bytes"])
 
 
+def ordered_roots(spark: SparkSession, roots: list[str], name: str = "", by_folder: bool = False) -> list[tuple[str, list[str]]]:
+    """For each root the files below ``root/name`` that no earlier root holds, by relative path.
+
+    With ``by_folder`` a whole folder (a partition of a table) is taken from the first root that has it. Roots that do not exist
+    hold nothing. The result names files, as Spark's readers want them; contents are not read.
+    """
+    parts = []
+    for rank, root in enumerate(roots):
+        base = f"{root.rstrip('/')}/{name}".rstrip("/")
+        try:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        local = F.regexp_replace(F.lit(base), r"^[a-z]+:/+", "/")
+        below = F.substring(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.length(local) + 2, F.lit(1 << 20))
+        unit = F.regexp_replace(below, r"(^|/)[^/]*$", "") if by_folder else below
+        parts.append(found.select(F.lit(rank).alias("rank"), "path", unit.alias("unit")))
+    if not parts:
+        return []
+    files = reduce(DataFrame.unionByName, parts)
+    first = files.groupBy("unit").agg(F.min("rank").alias("rank"))
+    chosen = files.join(first, ["unit", "rank"]).groupBy("rank").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [(roots[r["rank"]], r["paths"]) for r in chosen.orderBy("rank").collect()]
+
+
+def read_table(spark: SparkSession, roots: list[str], name: str) -> DataFrame:
+    """Parquet table ``name`` whose partitions come from the first of ``roots`` that holds them."""
+    if len(roots) == 1:
+        return spark.read.parquet(f"{roots[0]}/{name}")
+    parts = [spark.read.option("basePath", f"{root.rstrip('/')}/{name}").parquet(*paths) for root, paths in ordered_roots(spark, roots, name, True)]
+    if not parts:
+        return spark.read.parquet(f"{roots[0]}/{name}")  # says what is missing
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def list_files(spark: SparkSession, root: str, exclude_dirs: Iterable[str] = (),
                skip_files: Iterable[str] = (), held_bytes: int = MAX_HELD_BYTES) -> DataFrame:
     """Files under ``root`` as (file, sha256, size_bytes), paths relative and with forward slashes.
