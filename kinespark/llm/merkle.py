@@ -157,7 +157,7 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
         wanted.append(_asked(cut(below)))
     # above the subroots
     asked = cut(leaves.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx")).distinct())
-    cursor = asked.limit(1).select("tree", F.lit(0).cast("long").alias("idx"), F.lit(manifest.root).alias("digest"), F.array().cast(SEGMENT).alias("path"))
+    cursor = cut(asked.limit(1).select("tree", F.lit(0).cast("long").alias("idx"), F.lit(manifest.root).alias("digest"), F.array().cast(SEGMENT).alias("path")))
     above = [_asked(asked)]
     while len(above) < manifest.upper_depth:
         above.append(_asked(above[-1].select("tree", "idx")))
