@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
 from .plans import (changepoint, extraction, fidelity, floors, manifests, preprocess, reliability, reorganisation,
                     sensitivity)
+from .functions import kernels
 from .operators.matrices import pack_profiles
 from .session import build_session, cut_lineage
 from .sinks import tables as sinks
@@ -53,6 +55,16 @@ class Run:
         sinks.write_table(df, f"{self.args.out}/{name}", overwrite=self.args.overwrite, **how)
 
 
+def _report(run: Run, name: str, title: str, facts: dict[str, object], tables: dict[str, DataFrame]) -> None:
+    """Parameters and small aggregated tables of a stage as a text of its own."""
+    known = {"input": run.args.input, "dataset": run.args.dataset or "all", **facts}
+    sinks.write_text(run.spark, f"{run.args.out}/{name}", sinks.summary_text(title, known, tables))
+
+
+def _counts(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    return rows.groupBy(value.alias(name)).agg(F.count("*").alias("subjects")).orderBy(F.desc("subjects"), name)
+
+
 def run_preprocess(run: Run) -> int:
     out = preprocess.preprocess(run.read("signals"), run.read("channel_map"), config.load_config(run.args.params))
     # one partition per subject, so rerunning a subject replaces its rows only
@@ -85,7 +97,8 @@ def run_extract(run: Run) -> int:
 
 
 def run_rank(run: Run) -> int:
-    out = cut_lineage(extraction.choose_rank(run.read("nmf_summary")))
+    targets = {n: v for n, v in (("total_target", run.args.total_target), ("channel_target", run.args.channel_target)) if v is not None}
+    out = cut_lineage(extraction.choose_rank(run.read("nmf_summary"), **targets))
     run.write(out, "chosen_k")
     return FAILED if out.where("chosen_k IS NULL").take(1) else 0
 
@@ -117,7 +130,8 @@ def run_pairwise(run: Run) -> int:
 
 
 def run_envelope(run: Run) -> int:
-    out, dist = reliability.envelope(run.read("stability_summary"), run.blocks())
+    out, dist = reliability.envelope(run.read("stability_summary"), run.blocks(), run.args.n or reliability.ENVELOPE_BOOT,
+                                     run.args.n_ci or reliability.ENVELOPE_CI)
     out = cut_lineage(out)
     if not out.take(1):
         return FAILED
@@ -151,8 +165,14 @@ def run_floors(run: Run) -> int:
 def run_changepoint(run: Run) -> int:
     gates = run.read("coordination_floor_gates_by_speed")
     run.write(changepoint.fidelity_curve(gates, run.args.dataset), "fidelity_curve")
-    run.write(changepoint.crosscheck(gates, run.read("coordination_floors"), run.args.n or 2000, run.args.dataset),
-              "changepoint_crosscheck")
+    grid = run.args.n or 2000
+    out = cut_lineage(changepoint.crosscheck(gates, run.read("coordination_floors"), grid, run.args.dataset))
+    run.write(out, "changepoint_crosscheck")
+    _report(run, "changepoint_summary", "Breakpoint cross-check", {
+        "rows": out.count(), "curve": "smaller of both fidelities by tested speed", "hinge": f"grid of {grid} breakpoints",
+        "mean shift": "one change, midway between neighbouring tested speeds"}, {
+        "Nearest tested speed of the hinge": _counts(out, F.col("segmented_breakpoint_nearest_tested_speed_mps"), "speed_mps"),
+        "Mean shift": _counts(out, F.round("pelt_breakpoint_mid_mps", 2), "speed_mps")})
     return 0
 
 
@@ -164,6 +184,13 @@ def run_sensitivity(run: Run) -> int:
     run.write(out, "sensitivity_comparison")
     run.write(icc, "icc_summary")
     run.write(limits, "bland_altman_summary")
+    floor = F.col("floor_speed_mps")
+    by_variant = out.groupBy("variant").agg(F.count(floor).alias("subjects"), F.avg(floor).alias("mean"), F.stddev_samp(floor).alias("sd"),
+                                            F.min(floor).alias("min"), F.max(floor).alias("max")).orderBy("variant")
+    _report(run, "sensitivity_summary", "Floors under other choices", {
+        "subjects": out.select("dataset", "subject", "trial").distinct().count(), "starts": sensitivity.N_STARTS, "seed": sensitivity.SEED,
+        "share of strides in stride_half": sensitivity.HALF}, {
+        "Floors": by_variant, "ICC(2,1), good agreement from 0.75": icc, "Bland-Altman limits against the baseline": limits})
     return 0
 
 
@@ -187,10 +214,22 @@ def run_compare(run: Run) -> int:
 
 def run_within(run: Run) -> int:
     seed = reliability.WITHIN_SEED if run.args.seed is None else run.args.seed
-    out = cut_lineage(reliability.within_speed(run.read("stability_summary"), run.blocks(), run.args.n or reliability.WITHIN_BOOT,
-                                               run.args.starts or reliability.WITHIN_STARTS, seed))
-    return sinks.write_guarded(out, f"{run.args.out}/within_speed_reliability", "n_boot_success",
+    n, starts = run.args.n or reliability.WITHIN_BOOT, run.args.starts or reliability.WITHIN_STARTS
+    rule = replace(kernels.WITHIN, max_iter=run.args.max_iter or kernels.WITHIN.max_iter, tol=run.args.tol or kernels.WITHIN.tol)
+    stable = run.read("stability_summary")
+    if run.args.dataset:
+        stable = stable.where(F.col("dataset") == run.args.dataset)
+    out = cut_lineage(reliability.within_speed(stable, run.blocks(), n, starts, seed, rule))
+    code = sinks.write_guarded(out, f"{run.args.out}/within_speed_reliability", "n_boot_success",
                                run.args.allow_empty_output, run.args.overwrite)
+    done = F.col("within_fid_mean")
+    speeds = out.groupBy("speed_mps").agg(F.count(done).alias("conditions"), F.avg(done).alias("mean"), F.min(done).alias("min"),
+                                          F.max(done).alias("max")).orderBy(F.desc("speed_mps"))
+    _report(run, "within_speed_summary", "Half-split reliability", {
+        "conditions": out.count(), "with a result": out.where(done.isNotNull()).count(), "replicates": n, "starts": starts, "seed": seed,
+        "iterations": rule.max_iter, "tolerance": rule.tol}, {
+        "Fidelity by speed": speeds, "Conditions without a result": _counts(out.where("notes <> ''"), F.col("notes"), "reason")})
+    return code
 
 
 def run_reorganisation(run: Run) -> int:
@@ -266,6 +305,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--n", type=int, help="surrogates, replicates or grid points; points of a stride in signal text")
     p.add_argument("--starts", type=int, help="starts of a fit")
     p.add_argument("--seed", type=int, help="seed of the draws")
+    p.add_argument("--max-iter", type=int, help="passes of a fit (within)")
+    p.add_argument("--tol", type=float, help="tolerance of a fit (within)")
+    p.add_argument("--n-ci", type=int, help="resamples of a bound (envelope)")
+    p.add_argument("--total-target", type=float, help="explained variance a rank must reach in total (rank)")
+    p.add_argument("--channel-target", type=float, help="explained variance a rank must reach in every channel (rank)")
     p.add_argument("--muscles", help="channel names in order, joined by ';' (wide module table)")
     p.add_argument("--test", action="store_true", help="one pair, ten surrogates")
     p.add_argument("--resume", action="store_true", help="skip finished conditions")
