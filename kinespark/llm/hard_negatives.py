@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, query, table
 
-#: anchors of a block, candidates of a tile
-BLOCK, TILE = 1024, 1024
+#: anchors of a block (each block is a copy of the candidates in the shuffle), candidates of a tile
+BLOCK, TILE = 4096, 1024
 #: stripes of n candidates: the root of n over STRIPES, so that stripes grow as well as their number
 STRIPES = 16
 #: Strassen's scheme stops at matrices with a side of this or less
