@@ -99,7 +99,7 @@ SELECT vec_id, list_transform(range(200), lambda i: round(v[least(floor(i * 63 /
 """)
 def time_normalise(spark, sf):
     profile = signal.time_normalise("v", 200)
-    return vectors(spark, sf).select("vec_id", F.transform(profile, lambda x: F.round(x, 6)).alias("profile"))
+    return vectors(spark, sf).select("vec_id", F.transform(profile, lambda x: r(x)).alias("profile"))
 
 
 @query("sign_standardise", f"""

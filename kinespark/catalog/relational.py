@@ -11,7 +11,10 @@ from . import query, table
 
 
 def r(col, digits: int = 6):
-    return F.round(col, digits)
+    """Rounded value that keeps the sign of what it rounds, as SQL's does: a small negative number becomes -0.0, not 0.0."""
+    value = F.col(col) if isinstance(col, str) else col
+    near = F.round(value, digits)
+    return F.when(near == 0, value * 0.0).otherwise(near)
 
 
 def year(col: str):
