@@ -22,6 +22,10 @@ from ..functions import kernels
 TASK_CELLS = 1 << 22
 # Cells worked on at once inside a Python batch.
 BATCH_CELLS = 1 << 20
+# Cells of surrogates made at once: a pass over them stays in a core's cache.
+SURROGATE_CELLS = 1 << 15
+# Tasks per core for work that takes long by the row.
+TASKS_A_CORE = 8
 
 
 def as_matrix(values, rows: int) -> np.ndarray:
@@ -151,6 +155,14 @@ def strides(X: np.ndarray, n_blocks: int) -> np.ndarray:
     return X.reshape(X.shape[0], int(n_blocks), -1)
 
 
+def spread(df: DataFrame, *names: str) -> DataFrame:
+    """Rows dealt out by ``names`` to several tasks a core, which adaptive execution does not put together again.
+
+    For rows that are small but take long: sizes in bytes say nothing about them.
+    """
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *[F.col(n) for n in names])
+
+
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 
@@ -165,11 +177,12 @@ def surrogate_fidelity(pairs: DataFrame, factors: DataFrame, blocks: DataFrame,
 
     A stride's surrogates depend on that stride alone, so every block row makes
     its own copies, seeded by (seed + surrogate, stride), and returns only their
-    squared errors. The data is shuffled once whatever the number of surrogates.
+    squared errors. The data is shuffled once whatever the number of surrogates, and
+    dealt out by stride, so that a condition is not one task.
     """
     f = factors.select(*keys, F.col("speed_key").alias(source), "w")
     b = blocks.select(*keys, F.col("speed_key").alias(target), "block_id", "m", "x")
-    rows = b.join(pairs.join(f, [*keys, source]), [*keys, target])
+    rows = spread(b.join(pairs.join(f, [*keys, source]), [*keys, target]), *keys, target, "block_id")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def copies(x: pd.Series, m: pd.Series, w: pd.Series, block: pd.Series) -> pd.Series:
@@ -180,19 +193,22 @@ def surrogate_fidelity(pairs: DataFrame, factors: DataFrame, blocks: DataFrame,
             alike.setdefault((len(xi), int(mi), np.asarray(wi).tobytes()), []).append(i)
         for (cells, mi, _), members in alike.items():
             W = as_matrix(w.iloc[members[0]], mi)
-            size = max(1, BATCH_CELLS // cells)
+            size = max(1, SURROGATE_CELLS // cells)
             for part in (members[a:a + size] for a in range(0, len(members), size)):
                 X = np.stack([as_columns(x.iloc[i], mi) for i in part])
+                ids = [int(block.iloc[i]) for i in part]
                 # surrogates only reorder values, so they all share the stride's total
-                errors = [np.square(X).sum(axis=(1, 2))]
-                for s in range(n_surrogates):
-                    start = np.stack([np.random.default_rng([seed + s, int(block.iloc[i])]).permuted(X[j], axis=-1)
-                                      for j, i in enumerate(part)])
+                errors = [np.square(X).sum(axis=(1, 2))[None]]
+                # few strides: several surrogates of all of them at once
+                at_once = max(1, size // len(part))
+                for lo in range(0, n_surrogates, at_once):
+                    start = np.stack([[kernels.generator(seed + s, i).permuted(one, axis=-1) for one, i in zip(X, ids)]
+                                      for s in range(lo, min(lo + at_once, n_surrogates))])
                     S = kernels.phase_surrogates(X, start, n_iter)
-                    flat = S.transpose(1, 0, 2).reshape(mi, -1)
+                    flat = S.transpose(2, 0, 1, 3).reshape(mi, -1)
                     rest = np.square(flat - W @ kernels.nnls(W, flat)).sum(axis=0)
-                    errors.append(rest.reshape(len(part), -1).sum(axis=1))
-                for i, e in zip(part, np.stack(errors, axis=1)):
+                    errors.append(rest.reshape(len(S), len(part), -1).sum(axis=2))
+                for i, e in zip(part, np.concatenate(errors).T):
                     out[i] = e
         return pd.Series(out)
 
