@@ -24,7 +24,7 @@ from ..functions import kernels
 from ..functions.kernels import Rule
 from ..functions.signal import let
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .matrices import TASK_CELLS, as_columns, as_matrix, cells, gather, has_rows, map_rows, vector_sum
+from .matrices import FITS_A_CORE, TASK_CELLS, as_columns, as_matrix, cells, gather, has_rows, map_rows, spread, vector_sum
 from .selection import top_row
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -35,6 +35,8 @@ FIT_FIELDS = [
 CHECKPOINT_EVERY = 10
 # cells of data that a stack of blocks holds
 STACK_CELLS = 1 << 18
+# starts of a fit that one task runs, if their activations are not too many
+STARTS_A_TASK = 5
 NONFINITE, NO_FINITE_FIT = "nonfinite entries", "no start converged to finite factors"
 
 
@@ -44,8 +46,18 @@ def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
 
 
 def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool) -> DataFrame:
-    """Fit rows ``(keys, m, n_blocks, points, ids, widths, x, k, seeds)``; a failed fit keeps its row and its reason."""
-    ids = [*keys, "m", "k"]
+    """Fit rows ``(keys, m, n_blocks, points, ids, widths, x, k, seeds)``; a failed fit keeps its row and its reason.
+
+    The starts of a fit are dealt to tasks, a few to each: as many as have bounded activations. The best one is kept.
+    """
+    ids = [*keys, "m", "k", "part"]
+    if rule.name == "svd_start":
+        tasks = tasks.withColumn("seeds", F.slice("seeds", 1, 1))
+    fitting = F.floor(2 * TASK_CELLS / (F.col("k") * F.size("x") / F.col("m") + 1)).cast("int")
+    tasks = tasks.withColumn("_few", F.greatest(F.lit(1), F.least(F.lit(STARTS_A_TASK), fitting)))
+    parts = F.sequence(F.lit(0), F.ceil(F.size("seeds") / F.col("_few")).cast("int") - 1)
+    tasks = tasks.withColumn("part", F.explode(parts)).withColumn(
+        "seeds", F.slice("seeds", F.col("part") * F.col("_few") + 1, F.col("_few"))).drop("_few")
 
     def run(row):
         head = tuple(getattr(row, n) for n in ids)
@@ -65,8 +77,9 @@ def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool
         except (ValueError, np.linalg.LinAlgError) as e:
             yield (*head, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
 
-    spread = tasks.repartition(*[F.col(c) for c in [*keys, "k"]])
-    return map_rows(spread, _schema(tasks, ids), run)
+    fits = map_rows(spread(tasks, *keys, "k", "part", a_core=FITS_A_CORE), _schema(tasks, ids), run)
+    best = top_row(fits, [*keys, "m", "k"], [F.col("fail_reason").isNotNull(), F.col("sse"), F.col("part")], lowest=True)
+    return best.drop("part")
 
 
 def _stacks(*columns: pd.Series) -> list[np.ndarray]:

@@ -26,6 +26,8 @@ BATCH_CELLS = 1 << 20
 SURROGATE_CELLS = 1 << 15
 # Tasks per core for work that takes long by the row.
 TASKS_A_CORE = 8
+# The same where a row is a whole fit: more, so that few of them meet in one task.
+FITS_A_CORE = 32
 
 
 def as_matrix(values, rows: int) -> np.ndarray:
@@ -155,12 +157,12 @@ def strides(X: np.ndarray, n_blocks: int) -> np.ndarray:
     return X.reshape(X.shape[0], int(n_blocks), -1)
 
 
-def spread(df: DataFrame, *names: str) -> DataFrame:
+def spread(df: DataFrame, *names: str, a_core: int = TASKS_A_CORE) -> DataFrame:
     """Rows dealt out by ``names`` to several tasks a core, which adaptive execution does not put together again.
 
     For rows that are small but take long: sizes in bytes say nothing about them.
     """
-    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *[F.col(n) for n in names])
+    return df.repartition(a_core * df.sparkSession.sparkContext.defaultParallelism, *[F.col(n) for n in names])
 
 
 def has_rows(df: DataFrame) -> bool:
