@@ -26,8 +26,8 @@ from ..functions import kernels
 from ..functions.kernels import Rule
 from ..session import cut_lineage
 from .factorise import DOUBLES, NONFINITE, fit_large
-from .matrices import (TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity,
-                       strides)
+from .matrices import (FITS_A_CORE, TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity,
+                       spread, strides)
 from .segments import row_numbers
 
 REPLICATE_FIELDS = [
@@ -73,7 +73,9 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
                 weights = [np.repeat(n, X3.shape[2]).astype(float) for _, n in counted]
                 out = []
                 for side, (X, (at, n), weight) in enumerate(zip(parts, counted, weights, strict=True)):
-                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side), at, [X3.shape[2]] * len(at), weight)
+                    # draws without repeats count once
+                    times = weight if (n > 1).any() else None
+                    W, H, *_ = kernels.best_fit(rule, X, int(row.k), fit_seeds(row, r, side), at, [X3.shape[2]] * len(at), times)
                     if normalise:
                         W, H = kernels.unit_sum(W, H, rule.eps)
                     wave = (H.reshape(H.shape[0], len(at), -1) * n[:, None]).sum(axis=1) / n.sum()
@@ -90,8 +92,7 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
                 yield (*head, r, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
 
     schema = T.StructType([tasks.schema[n] for n in ids] + [T.StructField(n, t) for n, t in REPLICATE_FIELDS])
-    spread = tasks.repartition(*[F.col(c) for c in [*keys, "k", "lo"]])
-    return map_rows(spread, schema, run)
+    return map_rows(spread(tasks, *keys, "k", "lo", a_core=FITS_A_CORE), schema, run)
 
 
 def _uniform(*parts: Column) -> Column:
