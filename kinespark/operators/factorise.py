@@ -53,7 +53,7 @@ def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool
     ids = [*keys, "m", "k", "part"]
     if rule.name == "svd_start":
         tasks = tasks.withColumn("seeds", F.slice("seeds", 1, 1))
-    fitting = F.floor(2 * TASK_CELLS / (F.col("k") * F.size("x") / F.col("m") + 1)).cast("int")
+    fitting = F.floor(TASK_CELLS / (F.col("k") * F.size("x") / F.col("m") + 1)).cast("int")
     tasks = tasks.withColumn("_few", F.greatest(F.lit(1), F.least(F.lit(STARTS_A_TASK), fitting)))
     parts = F.sequence(F.lit(0), F.ceil(F.size("seeds") / F.col("_few")).cast("int") - 1)
     tasks = tasks.withColumn("part", F.explode(parts)).withColumn(

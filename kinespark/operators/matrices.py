@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 
-# Largest condition, in matrix cells, that is handed to one task as a whole (32 MiB of doubles).
-TASK_CELLS = 1 << 22
+# Largest condition, in matrix cells, that is handed to one task as a whole (64 MiB of doubles).
+TASK_CELLS = 1 << 23
 # Cells worked on at once inside a Python batch.
 BATCH_CELLS = 1 << 20
 # Cells of surrogates made at once: a pass over them stays in a core's cache.

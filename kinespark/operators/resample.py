@@ -5,9 +5,9 @@ each side, and measure how well each side's factors reconstruct the other. The
 draws are one table, built in parallel from hashes of (seed, replicate, side,
 position), whatever the size of a condition. A replicate is a weight per stride on
 one copy of the data: statistics are multiplied by how often a stride was drawn, and
-copies of a stride start alike, so nothing is repeated. A condition that fits a task
-gets its share of the draws as arrays (a few replicates per task); a larger one is
-fitted block-wise, all replicates and starts in one run. Blocks are numbered from 0.
+copies of a stride start alike, so nothing is repeated. Where a condition fits a task,
+the task makes the same draws as arrays (a few replicates per task); a larger one is
+fitted block-wise, all replicates and starts in one run, from a table of them. Blocks are numbered from 0.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.kernels import Rule
+from ..functions.signal import let
 from ..session import cut_lineage
 from .factorise import DOUBLES, NONFINITE, fit_large
 from .matrices import (FITS_A_CORE, TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity,
@@ -60,11 +61,10 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
     def run(row):
         head = tuple(getattr(row, n) for n in ids)
         X3 = strides(as_columns(row.x, row.m), row.n_blocks)
-        drawn: dict[int, dict[int, np.ndarray]] = {}
-        for d in row.plan:
-            drawn.setdefault(int(d["replicate"]), {})[int(d["side"])] = np.asarray(d["at"], int)
-        for r in sorted(drawn):
-            sides = [drawn[r][side] for side in sorted(drawn[r])]
+        n_sides = 2 if scheme.two_sides else 1
+        for r in range(row.lo, row.lo + len(row.at) // n_sides):
+            first = (r - row.lo) * n_sides
+            sides = [np.asarray(at, int) for at in row.at[first:first + n_sides]]
             try:
                 if not np.isfinite(X3).all():
                     raise ValueError(NONFINITE)
@@ -92,7 +92,9 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
                 yield (*head, r, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
 
     schema = T.StructType([tasks.schema[n] for n in ids] + [T.StructField(n, t) for n, t in REPLICATE_FIELDS])
-    return map_rows(spread(tasks, *keys, "k", "lo", a_core=FITS_A_CORE), schema, run)
+    # each task makes its own draws: they are not shuffled
+    dealt = spread(tasks, *keys, "k", "lo", a_core=FITS_A_CORE)
+    return map_rows(dealt.withColumn("at", drawn_arrays(scheme, F.col("lo"), F.col("last"))).drop("last"), schema, run)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -100,6 +102,40 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def _lengths(scheme: Scheme) -> tuple[Column, Column, Column]:
+    """Strides of a side, strides that are drawn together, and how many strides a draw can start at."""
+    n, b = F.col("n_strides"), F.col("block")
+    size = n if scheme == MOVING else F.floor(n / 2).cast("int")
+    step = F.when((b <= 1) | (b >= n), 1).otherwise(b) if scheme == MOVING else b
+    return size, step, n if scheme == CIRCULAR else n - step + 1
+
+
+def drawn_arrays(scheme: Scheme, lo: Column, last: Column) -> Column:
+    """The draws of ``drawn_positions`` as arrays of strides by position, one for each replicate from ``lo`` to ``last`` and side.
+
+    A row needs nothing but its own n_strides, block and draw_seed, so its draws are made where it is.
+    """
+    n, seed = F.col("n_strides"), F.col("draw_seed")
+    size, step, limit = _lengths(scheme)
+
+    def shuffled(replicate: Column) -> Column:
+        placed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+            F.xxhash64(seed, replicate, i).alias("u"), i.cast("bigint").alias("i")))
+        return let(F.transform(F.sort_array(placed), lambda s: s["i"]), lambda order: F.array(
+            F.slice(order, F.lit(1), size), F.slice(order, size + 1, size)))
+
+    def runs(replicate: Column, side: int) -> Column:
+        count = F.ceil(size / step).cast("int")
+        starts = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.floor(_uniform(seed, replicate, F.lit(side), j) * limit))
+        offsets = F.sequence(F.lit(0), step - 1)
+        return F.slice(F.flatten(F.transform(starts, lambda s: F.transform(
+            offsets, lambda o: F.pmod(s + o, n).cast("bigint")))), F.lit(1), size)
+
+    def sides(replicate: Column) -> Column:
+        return shuffled(replicate) if scheme == DISJOINT else F.array(*[runs(replicate, s) for s in range(2 if scheme.two_sides else 1)])
+    return F.flatten(F.transform(F.sequence(lo, last), sides))
+
+
 def drawn_positions(conditions: DataFrame, keys: Sequence[str], scheme: Scheme, lo: int, hi: int) -> DataFrame:
     """Drawn strides of large conditions as rows (keys, replicate, side, position, block_id).
 
@@ -121,9 +157,7 @@ def drawn_positions(conditions: DataFrame, keys: Sequence[str], scheme: Scheme,
         return ranked.where(at < 2 * F.col("_half")).select(
             *keys, "replicate", F.when(at < F.col("_half"), 0).otherwise(1).alias("side"),
             (at % F.col("_half")).alias("position"), F.col("block_id").cast("bigint"))
-    size = n if scheme == MOVING else half
-    step = F.when((b <= 1) | (b >= n), 1).otherwise(b) if scheme == MOVING else b
-    limit = n if scheme == CIRCULAR else n - step + 1
+    size, step, limit = _lengths(scheme)
     rows = base.withColumn("_size", size).withColumn("_step", step).withColumn("_limit", limit)
     count = F.ceil(F.col("_size") / F.col("_step")).cast("int")
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -187,13 +221,9 @@ def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str]
     """
     conditions = cut_lineage(conditions)  # one short row per condition
     small, large = gather(blocks, keys, limit)
-    at = drawn_positions(conditions.join(small.select(*keys), list(keys), "left_semi"), keys, scheme, lo, hi)
-    sides = at.groupBy(*keys, "replicate", "side").agg(
-        F.array_sort(F.collect_list(F.struct("position", "block_id"))).alias("_p"))
-    first = F.lit(lo) + F.floor((F.col("replicate") - lo) / per_task).cast("int") * per_task
-    plans = sides.withColumn("lo", first).groupBy(*keys, "lo").agg(F.collect_list(
-        F.struct("replicate", "side", F.transform("_p", lambda s: s["block_id"]).alias("at"))).alias("plan"))
-    tasks = small.join(conditions, list(keys)).join(plans, list(keys))
+    parts = conditions.withColumn("lo", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(per_task)))).withColumn(
+        "last", F.least(F.col("lo") + per_task, F.lit(hi)) - 1)
+    tasks = small.join(parts, list(keys))
     out = _small(tasks, keys, scheme, rule, fit_seeds, normalise)
     if has_rows(large):
         todo = conditions.join(large.select(*keys).distinct(), list(keys), "left_semi")
