@@ -7,9 +7,7 @@ conditions: two subjects (label parity) at five speeds.
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -366,8 +364,7 @@ def variant_inputs(spark, sf):
 @query("variant_floors")
 def variant_floors(spark, sf):
     b, stable, bounds, null = variant_inputs(spark, sf)
-    parts = [sensitivity.variant_floors(v, stable, bounds, null, b) for v in sensitivity.VARIANTS]
-    return reduce(DataFrame.unionByName, parts)
+    return sensitivity.variant_floors(sensitivity.VARIANTS, stable, bounds, null, b)
 
 
 @query("breakpoint_crosscheck")

@@ -24,7 +24,7 @@ from ..functions import kernels
 from ..functions.kernels import Rule
 from ..functions.signal import let
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .matrices import FITS_A_CORE, TASK_CELLS, as_columns, as_matrix, cells, gather, has_rows, map_rows, spread, vector_sum
+from .matrices import TASK_CELLS, as_columns, as_matrix, cells, gather, has_rows, map_rows, spread_fits, vector_sum
 from .selection import top_row
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -45,10 +45,10 @@ def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t) for n, t in FIT_FIELDS])
 
 
-def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool) -> DataFrame:
+def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool, rows: int) -> DataFrame:
     """Fit rows ``(keys, m, n_blocks, points, ids, widths, x, k, seeds)``; a failed fit keeps its row and its reason.
 
-    The starts of a fit are dealt to tasks, a few to each: as many as have bounded activations. The best one is kept.
+    ``rows`` says about how many fits there are, counting ``STARTS_A_TASK`` starts as one. The starts of a fit are dealt to tasks, a few to each: as many as have bounded activations. The best one is kept.
     """
     ids = [*keys, "m", "k", "part"]
     if rule.name == "svd_start":
@@ -77,7 +77,7 @@ def fit_small(tasks: DataFrame, keys: Sequence[str], rule: Rule, normalise: bool
         except (ValueError, np.linalg.LinAlgError) as e:
             yield (*head, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])
 
-    fits = map_rows(spread(tasks, *keys, "k", "part", a_core=FITS_A_CORE), _schema(tasks, ids), run)
+    fits = map_rows(spread_fits(tasks, rows, *keys, "k", "part"), _schema(tasks, ids), run)
     best = top_row(fits, [*keys, "m", "k"], [F.col("fail_reason").isNotNull(), F.col("sse"), F.col("part")], lowest=True)
     return best.drop("part")
 
@@ -427,7 +427,8 @@ def fit_conditions(blocks: DataFrame, keys: Sequence[str], wanted: DataFrame, ru
     # a few numbers per fit; written so that both ways and every start read the same list
     wanted = cut_lineage(wanted)
     small, large = gather(blocks, keys, limit)
-    fits = fit_small(small.join(wanted, list(keys)), keys, rule, normalise)
+    rows = wanted.agg(F.sum(F.ceil(F.size("seeds") / STARTS_A_TASK))).first()[0] or 0
+    fits = fit_small(small.join(wanted, list(keys)), keys, rule, normalise, rows)
     if has_rows(large):
         todo = wanted.join(large.select(*keys).distinct(), list(keys), "left_semi")
         fits = fits.unionByName(fit_large(large, todo, keys, rule, normalise))

@@ -24,9 +24,11 @@ TASK_CELLS = 1 << 23
 BATCH_CELLS = 1 << 20
 # Cells of surrogates made at once: a pass over them stays in a core's cache.
 SURROGATE_CELLS = 1 << 15
+# So many times as many are drawn at once: their generators are arrays, whose steps cost little from thousands on.
+DRAWS_AT_ONCE = 4
 # Tasks per core for work that takes long by the row.
 TASKS_A_CORE = 8
-# The same where a row is a whole fit: more, so that few of them meet in one task.
+# The most where a row is a whole fit: a task costs some 75 ms in Python even if it has no row.
 FITS_A_CORE = 32
 
 
@@ -157,12 +159,22 @@ def strides(X: np.ndarray, n_blocks: int) -> np.ndarray:
     return X.reshape(X.shape[0], int(n_blocks), -1)
 
 
-def spread(df: DataFrame, *names: str, a_core: int = TASKS_A_CORE) -> DataFrame:
+def spread(df: DataFrame, *names: str) -> DataFrame:
     """Rows dealt out by ``names`` to several tasks a core, which adaptive execution does not put together again.
 
     For rows that are small but take long: sizes in bytes say nothing about them.
     """
-    return df.repartition(a_core * df.sparkSession.sparkContext.defaultParallelism, *[F.col(n) for n in names])
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *[F.col(n) for n in names])
+
+
+def spread_fits(df: DataFrame, rows: int, *names: str) -> DataFrame:
+    """About ``rows`` rows of a whole fit each, dealt out evenly by ``names``, which tell them apart: a task each, if they are few.
+
+    Ranges of a hash hold as many rows each; the hash itself would leave every third task empty and put three rows in another.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(FITS_A_CORE * cores, max(TASKS_A_CORE * cores, rows))
+    return df.repartitionByRange(tasks, F.xxhash64(*[F.col(n) for n in names]), *[F.col(n) for n in names])
 
 
 def has_rows(df: DataFrame) -> bool:
@@ -196,20 +208,23 @@ def surrogate_fidelity(pairs: DataFrame, factors: DataFrame, blocks: DataFrame,
         for (cells, mi, _), members in alike.items():
             W = as_matrix(w.iloc[members[0]], mi)
             size = max(1, SURROGATE_CELLS // cells)
-            for part in (members[a:a + size] for a in range(0, len(members), size)):
+            for part in (members[i:i + size] for i in range(0, len(members), size)):
                 X = np.stack([as_columns(x.iloc[i], mi) for i in part])
                 ids = [int(block.iloc[i]) for i in part]
                 # surrogates only reorder values, so they all share the stride's total
                 errors = [np.square(X).sum(axis=(1, 2))[None]]
                 # few strides: several surrogates of all of them at once
                 at_once = max(1, size // len(part))
-                for lo in range(0, n_surrogates, at_once):
-                    start = np.stack([[kernels.generator(seed + s, i).permuted(one, axis=-1) for one, i in zip(X, ids)]
-                                      for s in range(lo, min(lo + at_once, n_surrogates))])
-                    S = kernels.phase_surrogates(X, start, n_iter)
-                    flat = S.transpose(2, 0, 1, 3).reshape(mi, -1)
-                    rest = np.square(flat - W @ kernels.nnls(W, flat)).sum(axis=0)
-                    errors.append(rest.reshape(len(S), len(part), -1).sum(axis=2))
+                for lo in range(0, n_surrogates, at_once * DRAWS_AT_ONCE):
+                    numbers = np.arange(lo, min(lo + at_once * DRAWS_AT_ONCE, n_surrogates))
+                    copied = np.broadcast_to(X, (len(numbers), *X.shape)).reshape(-1, *X.shape[1:])
+                    start = kernels.permuted(copied, np.repeat(seed + numbers, len(ids)), np.tile(ids, len(numbers)))
+                    start = start.reshape(len(numbers), *X.shape)
+                    for a in range(0, len(numbers), at_once):
+                        S = kernels.phase_surrogates(X, start[a:a + at_once], n_iter)
+                        flat = S.transpose(2, 0, 1, 3).reshape(mi, -1)
+                        rest = np.square(flat - W @ kernels.nnls(W, flat)).sum(axis=0)
+                        errors.append(rest.reshape(len(S), len(part), -1).sum(axis=2))
                 for i, e in zip(part, np.concatenate(errors).T):
                     out[i] = e
         return pd.Series(out)

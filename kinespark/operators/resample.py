@@ -27,8 +27,8 @@ from ..functions.kernels import Rule
 from ..functions.signal import let
 from ..session import cut_lineage
 from .factorise import DOUBLES, NONFINITE, fit_large
-from .matrices import (FITS_A_CORE, TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity,
-                       spread, strides)
+from .matrices import (TASK_CELLS, as_columns, block_errors, gather, has_rows, map_rows, ratio_to_fidelity, spread_fits,
+                       strides)
 from .segments import row_numbers
 
 REPLICATE_FIELDS = [
@@ -55,7 +55,7 @@ def text_seed(text: str) -> int:
 
 
 def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
-           fit_seeds: Callable, normalise: bool) -> DataFrame:
+           fit_seeds: Callable, normalise: bool, rows: int) -> DataFrame:
     ids = [*keys, "m", "k"]
 
     def run(row):
@@ -93,7 +93,7 @@ def _small(tasks: DataFrame, keys: Sequence[str], scheme: Scheme, rule: Rule,
 
     schema = T.StructType([tasks.schema[n] for n in ids] + [T.StructField(n, t) for n, t in REPLICATE_FIELDS])
     # each task makes its own draws: they are not shuffled
-    dealt = spread(tasks, *keys, "k", "lo", a_core=FITS_A_CORE)
+    dealt = spread_fits(tasks, rows, *keys, "k", "lo")
     return map_rows(dealt.withColumn("at", drawn_arrays(scheme, F.col("lo"), F.col("last"))).drop("last"), schema, run)
 
 
@@ -224,7 +224,7 @@ def replicate_fits(blocks: DataFrame, conditions: DataFrame, keys: Sequence[str]
     parts = conditions.withColumn("lo", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(per_task)))).withColumn(
         "last", F.least(F.col("lo") + per_task, F.lit(hi)) - 1)
     tasks = small.join(parts, list(keys))
-    out = _small(tasks, keys, scheme, rule, fit_seeds, normalise)
+    out = _small(tasks, keys, scheme, rule, fit_seeds, normalise, conditions.count() * -(-(hi - lo) // per_task))
     if has_rows(large):
         todo = conditions.join(large.select(*keys).distinct(), list(keys), "left_semi")
         out = out.unionByName(_large(large, todo, keys, scheme, rule, fit_seeds, lo, hi, normalise))
